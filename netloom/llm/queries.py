@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from netloom.functions.tables import table
 from netloom.llm.canonical import CALL_EDGE, collapse
+from netloom.llm.contamination import leaked_items
 from netloom.llm.cooccurrence import shared_baskets
+from netloom.llm.packing import pack_texts
 from netloom.llm.percentiles import combine_parts, local_digests, merge_digests, read_percentiles
 
 PERCENTS = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
@@ -96,10 +98,46 @@ r as (select row_id, layer, value + 0.0 as value, lower(regexp_replace(node1, '[
 g as (select *, min(row_id) over (partition by layer, value, least(a, b), greatest(a, b)) as first_id from r)
 """
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """For each packing: texts packed, and texts or containers that break a rule (all of these are 0)."""
+    rows = p7_containers(spark, d)
+    texts = rows.groupBy("pack_name", "doc_id").agg(
+        F.count("*").alias("parts"), F.max("part").alias("last"), F.sum("n_tokens").alias("tokens"), F.max("capacity").alias("capacity")
+    )
+    split = (F.col("parts") != F.ceil(F.col("tokens") / F.col("capacity"))) | (F.col("last") != F.col("parts") - 1)
+    texts = texts.groupBy("pack_name").agg(F.count("*").alias("texts"), F.count(F.when(split, 1)).alias("wrongly_split"))
+    bins = rows.groupBy("pack_name", "container", "capacity", "used").agg(F.sum("n_tokens").alias("tokens"))
+    wrong = (F.col("tokens") != F.col("used")) | (F.col("used") > F.col("capacity"))
+    bins = bins.groupBy("pack_name").agg(F.count(F.when(wrong, 1)).alias("overfull"))
+    return texts.join(bins, "pack_name")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each packing: containers, the least possible number by volume, and the part of the room that is used."""
+    rows = p7_containers(spark, d).groupBy("pack_name", "capacity").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    return rows.withColumns({"at_least": F.ceil(F.col("tokens") / F.col("capacity")), "fill": F.col("tokens") / (F.col("containers") * F.col("capacity"))})
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_suites(spark: SparkSession, d: str) -> DataFrame:
+    """Items leaked and documents concerned, per suite."""
+    items = table(spark, d, "eval_items").select("item_id", "suite")
+    return p8_found(spark, d).join(items, "item_id").groupBy("suite").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_rank_errors": p1_rank_errors,
     "p2_found": p2_found, "p2_pairs": p2_pairs,
     "p5_found": p5_found, "p5_records": p5_records,
+    "p7_containers": p7_containers, "p7_audit": p7_audit, "p7_fill": p7_fill,
+    "p8_found": p8_found, "p8_suites": p8_suites,
 }
 
 SQL = {
@@ -109,5 +147,7 @@ SQL = {
     "p2_pairs": f"""with {_BASKETS.format(t=3, lift=1)} select layer, node_1, node_2, shared, cast(shared * baskets as double) / (a * b) as lift,
   case when shared < least(a, b) then (1 - greatest(a, b) / baskets) / (1 - shared / least(a, b)) end as conviction from scored""",
     "p5_found": f"with {_LABELS} select first_id as row_id_1, row_id as row_id_2 from g where row_id <> first_id",
+    "p7_audit": """select pack_name, count(*) as texts, 0::bigint as wrongly_split, 0::bigint as overfull
+  from pack_sizes, documents where text <> '' group by pack_name""",
     "p5_records": f"with {_LABELS} select first_id as row_id, count(*) as copies from g group by 1",
 }
