@@ -23,11 +23,11 @@ class Leaf:
     def columns(self) -> list[str]:
         return [self.column]
 
-    def form(self, df: DataFrame) -> Column:
-        c = F.col(self.column)
+    def text(self, df: DataFrame) -> Column:
+        c = F.col(f"`{self.column}`")
         if self.kind == "label":
-            return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-        if dict(df.dtypes)[self.column] in ("double", "float"):
+            return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+        if df.schema[self.column].dataType.typeName() in ("double", "float"):
             return F.when(c == 0, F.lit(0.0)).otherwise(c).cast("string")  # -0.0 equals 0.0
         return c.cast("string")
 
@@ -43,45 +43,41 @@ class Node:
         return [c for x in self.children for c in x.columns()]
 
 
-def _digest(text: Column) -> Column:
-    return F.xxhash64(text, F.lit(1)), F.xxhash64(F.lit(2), text)
+def _hashed(df: DataFrame, tree, name: str) -> DataFrame:
+    """Adds the column `name`: struct of digest (two independent 64-bit hashes) and form (the normalised structure).
 
-
-def _build(tree, df: DataFrame) -> tuple[Column, Column]:
-    """(digest, form): a 128-bit digest and the normalised structure, as strings; unordered children in the order of their digests."""
+    Each level is a projection of its own over the columns of its children, so nothing is computed twice.
+    """
     if isinstance(tree, Leaf):
-        text = tree.form(df)
-        form = F.coalesce(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("null"))
-    else:
-        parts = F.array(*[F.struct(d.alias("d"), f.alias("f")) for d, f in (_build(x, df) for x in tree.children)])
-        parts = parts if tree.ordered else F.array_sort(parts)
-        form = F.concat(F.lit("("), F.array_join(F.transform(parts, lambda x: x["f"]), ","), F.lit(")"))
-        joined = F.concat(F.lit("o" if tree.ordered else "u"), F.array_join(F.transform(parts, lambda x: x["d"]), ""))
-        a, b = _digest(joined)
-        return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")), form
-    a, b = _digest(form)
-    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")), form
+        df = df.withColumn(name, tree.text(df))
+        quoted = F.concat(F.lit("'"), F.replace(F.col(name), F.lit("'"), F.lit("''")), F.lit("'"))
+        df = df.withColumn(name, F.coalesce(quoted, F.lit("null")))
+        return df.withColumn(name, F.struct(F.struct(F.xxhash64(name, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), name).alias("h2")).alias("d"), F.col(name).alias("f")))
+    below = [f"{name}_{k}" for k in range(len(tree.children))]
+    for child, column in zip(tree.children, below):
+        df = _hashed(df, child, column)
+    parts = F.array(*below)
+    df = df.withColumn(name, parts if tree.ordered else F.sort_array(parts)).drop(*below)
+    digests, forms = F.col(name).getField("d"), F.col(name).getField("f")
+    kind = F.lit("ordered" if tree.ordered else "unordered")
+    form = F.concat(F.lit("(" if tree.ordered else "{"), F.array_join(forms, ","), F.lit(")" if tree.ordered else "}"))
+    return df.withColumn(name, F.struct(F.struct(F.xxhash64(digests, kind).alias("h1"), F.xxhash64(kind, digests).alias("h2")).alias("d"), form.alias("f")))
 
 
 def collapse(df: DataFrame, tree: Node, *, id: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(groups, members).  groups: digest, form, first_id (smallest id), copies; members: first_id, id, one row per record.
+    """(groups, members).  groups: h1, h2, form, first_id (smallest id), copies; members: first_id, id, one row per record
+    that has copies.
 
     Records with a null in a `required` column belong to no group; elsewhere null equals null.  Labels that are
-    empty after normalisation are equal to each other.  Identical rows are copies; one with a null id never comes out.
-    A digest whose members differ in structure (a collision) is split by structure.  Columns not in the tree are ignored.
+    empty after normalisation are equal to each other.  Identical rows are copies; rows with a null id never come out.
+    Records with one digest and unlike structures (a collision) are groups of their own.  Columns not in the tree are ignored.
     """
-    digest, form = _build(tree, df)
-    rows = df.where(" and ".join(f"`{c}` is not null" for c in required)).select(F.col(id).alias("id"), digest.alias("digest"), form.alias("form"))
-    rows = rows.where("id is not null")
-    groups = rows.groupBy("digest").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("form").alias("form"), F.max("form").alias("other")
-    )
-    clash = groups.where("form <> other").select("digest")
-    exact = groups.where("form = other").drop("other")
-    apart = rows.join(clash, "digest", "left_semi").groupBy("digest", "form").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    groups = exact.unionByName(apart)
-    several = groups.where("copies > 1").select("digest", F.col("form").alias("agreed"), "first_id")
-    members = rows.join(several, "digest").where(F.col("form") == F.col("agreed")).select("first_id", "id")
+    needed = sorted({*tree.columns(), id})
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in [*required, id])).select(*[F.col(f"`{c}`") for c in needed])
+    rows = _hashed(rows, tree, "root_").select(F.col(f"`{id}`").alias("id"), "root_.d.h1", "root_.d.h2", F.col("root_.f").alias("form"))
+    groups = rows.groupBy("h1", "h2", "form").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    several = groups.where("copies > 1").select("h1", "h2", F.col("form").alias("agreed"), "first_id")
+    members = rows.join(several, ["h1", "h2"]).where(F.col("form") == F.col("agreed")).select("first_id", "id")
     return groups, members
 
 
