@@ -46,8 +46,12 @@ def shared_baskets(
     beyond the three are ignored.
     """
     s, b, i = "scope_", "basket_", "item_"
-    facts = df.select(F.col(scope).alias(s), F.col(basket).alias(b), F.col(item).alias(i)).dropna().distinct()
+    facts = df.select(F.col(scope).alias(s), F.col(basket).alias(b), F.col(item).alias(i)).dropna()
     sizes = facts.groupBy(s, b).agg(F.count("*").alias("m")).groupBy(s).agg(F.count("*").alias("baskets"))
+    if min_shared > 1:  # an item with too few rows, repeated ones included, has too few baskets
+        often = facts.groupBy(s, i).agg(F.count("*").alias("rows_")).where(F.col("rows_") >= min_shared).select(s, i)
+        facts = facts.join(often, [s, i], "left_semi")
+    facts = facts.distinct()
     counts = facts.groupBy(s, i).agg(F.count("*").alias("count")).join(sizes, s)
     # the least t of an item in any qualifying pair: its partner has at least min_shared baskets
     need = F.greatest(F.lit(min_shared), F.ceil(F.lit(lift * min_shared) * F.col("count") / F.col("baskets") - 1e-9)).cast("long")
