@@ -32,37 +32,42 @@ class LoadPlan:
     bins: list[int]
     loads: list[int]
 
-    def _fingerprint(self, keys: list[str]) -> tuple[Column, Column]:
-        return F.xxhash64(*keys), F.hash(*keys)
-
-    def _light(self, keys: list[str]) -> Column:
-        return F.pmod(F.xxhash64(F.lit("light"), *keys), F.lit(self.tasks * SHARE)).cast("int")
-
-    def _bin(self, unit: Column) -> Column:
+    def _place(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Adds shards and base of split keys (null for others)."""
+        if not self.n_heavy:
+            return df.withColumns({"shards": F.lit(None).cast("int"), "base": F.lit(None).cast("int")})
+        h1, h2 = _fingerprint(keys)
+        return df.withColumns({"h1_": h1, "h2_": h2}).join(
+            F.broadcast(self.heavy.withColumnsRenamed({"h1": "h1_", "h2": "h2_"})), ["h1_", "h2_"], "left"
+        ).drop("h1_", "h2_")
+
+    def _bin(self, keys: list[str], shard: Column) -> Column:
+        unit = F.coalesce(F.col("base") + shard, _range(keys, self.tasks * SHARE))
         return F.element_at(F.array(*[F.lit(b) for b in self.bins]), unit + 1)
 
-    def _with_heavy(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        h1, h2 = self._fingerprint(keys)
-        return df.withColumns({"h1": h1, "h2": h2}).join(F.broadcast(self.heavy), ["h1", "h2"], "left").drop("h1", "h2")
-
     def fragment(self, df: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
-        """Adds `shard` and `bin`: equal `spread_by` of a key share a shard, so distinct counts of shards add up."""
-        if not self.n_heavy:
-            return df.withColumns({"shard": F.lit(0), "bin": self._bin(self._light(keys))})
-        df = self._with_heavy(df, keys)
-        shard = F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), F.col("shards"))).cast("int")
-        df = df.withColumn("shard", shard)
-        unit = F.when(F.col("shards").isNull(), self._light(keys)).otherwise(F.col("base") + F.col("shard"))
-        return df.withColumn("bin", self._bin(unit)).drop("shards", "base")
+        """Rows in the task of their bin, with `split` (whether the key has shards).
+
+        Equal `spread_by` of a key meet in one task, so distinct counts of a key's tasks add up.
+        """
+        shard = F.pmod(F.xxhash64(*spread_by), F.col("shards")).cast("int")
+        df = self._place(df, keys).withColumn("bin", self._bin(keys, shard))
+        return df.withColumn("split", F.col("shards").isNotNull()).drop("shards", "base").repartition(self.tasks, "bin")
 
     def replicate(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        """Adds `shard` and `bin`, one copy of a row for each shard of its key and no other."""
-        if not self.n_heavy:
-            return self.fragment(df, keys, keys)
-        df = self._with_heavy(df, keys)
-        df = df.withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shards"), F.lit(1)) - 1)))
-        unit = F.when(F.col("shards").isNull(), self._light(keys)).otherwise(F.col("base") + F.col("shard"))
-        return df.withColumn("bin", self._bin(unit)).drop("shards", "base")
+        """Rows of the other side, one copy in each task that has a shard of their key, and in no other."""
+        df = self._place(df, keys)
+        df = df.withColumn("shard_", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shards"), F.lit(1)) - 1)))
+        df = df.withColumn("bin", self._bin(keys, F.col("shard_"))).drop("shards", "base", "shard_")
+        return df.distinct().repartition(self.tasks, "bin")
+
+
+def _fingerprint(keys: list[str]) -> tuple[Column, Column]:
+    return F.xxhash64(*keys), F.hash(*keys)
+
+
+def _range(keys: list[str], ranges: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("light"), *keys), F.lit(ranges)).cast("int")
 
 
 def _labels(spark, tasks: int) -> list[int]:
@@ -70,28 +75,30 @@ def _labels(spark, tasks: int) -> list[int]:
     found: dict[int, int] = {}
     size = tasks * 32
     while len(found) < tasks:
-        for r in spark.range(size).select(F.col("id").cast("int").alias("n"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("p")).collect():
+        number = F.col("id").cast("int")
+        for r in spark.range(size).select(number.alias("n"), F.pmod(F.hash(number), F.lit(tasks)).alias("p")).collect():
             found.setdefault(r["p"], r["n"])
         size *= 4
     return [found[p] for p in range(tasks)]
 
 
-def plan_loads(loads: DataFrame, keys: list[str], load: str, tasks: int | None = None) -> LoadPlan:
-    """Bin-packs the keys of `loads` (one row per key) to tasks, largest first to the least loaded task."""
-    spark = loads.sparkSession
+def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadPlan:
+    """Bin-packs the keys of the rows of `df` to tasks, largest first to the least loaded task."""
+    spark = df.sparkSession
     tasks = tasks or shuffle_width(spark)
     parts = tasks * SHARE
-    total = loads.agg(F.sum(load)).first()[0] or 0
-    most = max(1, -(-total // parts))
-    is_heavy = F.col(load) > most
-    h1, h2 = F.xxhash64(*keys), F.hash(*keys)
-    heavy = loads.where(is_heavy).select(h1.alias("h1"), h2.alias("h2"), F.col(load).alias("n")).collect()
-    ranges = loads.where(~is_heavy).groupBy(F.pmod(F.xxhash64(F.lit("light"), *keys), F.lit(parts)).cast("int").alias("u")).agg(F.sum(load).alias("n"))
+    most = max(1, -(-df.count() // parts))
+    loads = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    heavy = F.col("n") > most
+    h1, h2 = _fingerprint(keys)
+    units_of = loads.select(F.when(heavy, h1).alias("h1"), F.when(heavy, h2).alias("h2"), F.when(~heavy, _range(keys, parts)).alias("u"), "n")
+    found = units_of.groupBy("h1", "h2", "u").agg(F.sum("n").alias("n")).collect()  # at most 2 * parts rows
     units = [0] * parts
-    for r in ranges.collect():
-        units[r["u"]] = r["n"]
     rows = []
-    for r in sorted(heavy, key=lambda r: (r["h1"], r["h2"])):
+    for r in found:
+        if r["u"] is not None:
+            units[r["u"]] = r["n"]
+    for r in sorted((r for r in found if r["u"] is None), key=lambda r: (r["h1"], r["h2"])):
         shards = -(-r["n"] // most)
         rows.append((r["h1"], r["h2"], shards, len(units)))
         units += [-(-r["n"] // shards)] * shards
@@ -106,6 +113,20 @@ def plan_loads(loads: DataFrame, keys: list[str], load: str, tasks: int | None =
     return LoadPlan(tasks, table, len(rows), bins, [n for n, _ in sorted(queue, key=lambda x: x[1])])
 
 
+def _profile_of(rows: DataFrame, key: str, partner: str, tasks: int | None) -> DataFrame:
+    """scope, key, n_rows, n_partners.  Keys that were not split are finished in their task; shards are added up."""
+    rows = rows.where(F.col(key).isNotNull())
+    plan = plan_loads(rows, ["scope", key], tasks)
+    placed = plan.fragment(rows.select("scope", key, partner), ["scope", key], [partner])
+    grouped = placed.groupBy("bin", "scope", key, "split", partner).agg(F.count("*").alias("n"))
+    per_task = grouped.groupBy("bin", "scope", key, "split").agg(F.sum("n").alias("n_rows"), F.count(partner).alias("n_partners"))
+    whole = per_task.where(~F.col("split")).select("scope", key, "n_rows", "n_partners")
+    if not plan.n_heavy:
+        return whole
+    shards = per_task.where(F.col("split")).groupBy("scope", key).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_partners").alias("n_partners"))
+    return whole.unionByName(shards)
+
+
 def key_profile(df: DataFrame, *, scope: str, fields: tuple[str, str], tasks: int | None = None) -> DataFrame:
     """Rows and distinct partners of each key of both fields within its scope, and the rows of the scope.
 
@@ -113,40 +134,30 @@ def key_profile(df: DataFrame, *, scope: str, fields: tuple[str, str], tasks: in
     values of the other field), scope_rows (all rows of the scope, those with null keys included).
     Null keys get no row; a null scope is a scope of its own; an empty table gives no rows; other columns are ignored.
     """
-    left, right = fields
-    rows = df.select(F.col(scope).alias("scope"), F.col(left).alias("l"), F.col(right).alias("r"))
-    # repeated rows are folded on the map side before anything is shuffled
-    folded = rows.groupBy("scope", "l", "r").agg(F.count("*").alias("n"))
-    both = folded.select(
-        "scope", "n",
-        F.explode(F.array(
-            F.struct(F.lit(left).alias("key_field"), F.col("l").cast("string").alias("key_value"), F.col("r").cast("string").alias("partner")),
-            F.struct(F.lit(right).alias("key_field"), F.col("r").cast("string").alias("key_value"), F.col("l").cast("string").alias("partner")),
-        )).alias("x"),
-    ).select("scope", "x.*", "n").where("key_value is not null")
-    keys = ["scope", "key_field", "key_value"]
-    loads = rows.select("scope", F.explode(F.array(
-        F.struct(F.lit(left).alias("key_field"), F.col("l").cast("string").alias("key_value")),
-        F.struct(F.lit(right).alias("key_field"), F.col("r").cast("string").alias("key_value")),
-    )).alias("x")).select("scope", "x.*").groupBy(*keys).agg(F.count("*").alias("load"))
-    scopes = loads.where(F.col("key_field") == left).groupBy("scope").agg(F.sum("load").alias("scope_rows"))
-    loads = loads.where("key_value is not null")
-    plan = plan_loads(loads, keys, "load", tasks)
-
-    placed = plan.fragment(both, keys, ["partner"]).repartition(plan.tasks, "bin")
-    per_shard = placed.groupBy("bin", *keys, "shard").agg(F.sum("n").alias("n"), F.count("partner").alias("partners"))
-    side = loads.join(scopes, loads["scope"].eqNullSafe(scopes["scope"])).select(loads["scope"], "key_field", "key_value", "scope_rows")
-    side = plan.replicate(side, keys).repartition(plan.tasks, "bin").withColumnsRenamed({c: f"_{c}" for c in keys})
-    same = (
-        (per_shard["bin"] == side["bin"]) & (per_shard["shard"] == side["shard"]) & per_shard["scope"].eqNullSafe(side["_scope"])
-        & (per_shard["key_field"] == side["_key_field"]) & (per_shard["key_value"] == side["_key_value"])
-    )
-    joined = per_shard.join(side, same).select(*[per_shard[k] for k in keys], "n", "partners", "scope_rows")
-    out = joined.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.sum("partners").alias("n_partners"), F.max("scope_rows").alias("scope_rows"))
-    return out.withColumnRenamed("scope", scope)
+    rows = df.select(F.col(scope).alias("scope"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)])
+    out = None
+    for k, field in enumerate(fields):
+        part = _profile_of(rows, f"f{k}", f"f{1 - k}", tasks)
+        part = part.select("scope", F.lit(field).alias("key_field"), F.col(f"f{k}").cast("string").alias("key_value"), "n_rows", "n_partners")
+        out = part if out is None else out.unionByName(part)
+    scopes = rows.groupBy(F.col("scope").alias("of")).agg(F.count("*").alias("scope_rows"))
+    joined = out.join(scopes, F.col("scope").eqNullSafe(F.col("of")))
+    return joined.select(F.col("scope").alias(scope), "key_field", "key_value", "n_rows", "n_partners", "scope_rows")
 
 
 def dominant_keys(df: DataFrame, *, scope: str, fields: tuple[str, str], share: int = 20, tasks: int | None = None) -> DataFrame:
     """Keys with at least 1/share of all rows of their scope."""
     profile = key_profile(df, scope=scope, fields=fields, tasks=tasks)
     return profile.where(F.col("n_rows") * share >= F.col("scope_rows")).select(scope, "key_field", "key_value")
+
+
+def fragment_replicate_join(facts: DataFrame, side: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Inner equi-join of a skewed table with one that has few rows per key; columns of `facts`, then those of `side`.
+
+    Each row of `facts` is moved once; a row of `side` only to the tasks with a shard of its key.  Identical rows of
+    `side` count once.  Null keys match nothing.  Other columns of the two must not share names.
+    """
+    facts, side = (df.where(" and ".join(f"`{k}` is not null" for k in keys)) for df in (facts, side))
+    plan = plan_loads(facts, keys, tasks)
+    left = plan.fragment(facts, keys, [F.struct(*[F.col(f"`{c}`") for c in facts.columns])]).drop("split")
+    return left.join(plan.replicate(side.select(*side.columns), keys), ["bin", *keys]).drop("bin")

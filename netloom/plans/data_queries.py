@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.tables import table
 from netloom.operators.orphans import orphan_references, orphan_report
 from netloom.operators.parse_errors import parse_lines
-from netloom.operators.skew import dominant_keys, key_profile
+from netloom.operators.skew import dominant_keys, fragment_replicate_join, key_profile
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +102,14 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     return key_profile(table(spark, d, "affiliations"), scope="layer", fields=("affiliation", "node"))
 
 
+def p6_offices(spark: SparkSession, d: str) -> DataFrame:
+    """Memberships per layer and office of the member's first registration: a join on the skewed key."""
+    register = table(spark, d, "lazega_nodes").where("node_id is not null")
+    first = register.groupBy(F.col("node_id").alias("node")).agg(F.min(F.struct("rec_id", "Office")).alias("r")).select("node", F.col("r.Office").alias("Office"))
+    members = table(spark, d, "affiliations").select("layer", "node")
+    return fragment_replicate_join(members, first, ["node"]).groupBy("layer", "Office").agg(F.count("*").alias("memberships"))
+
+
 _PROFILE = """
 totals as (select layer, count(*) as scope_rows from affiliations group by layer),
 profile as (
@@ -114,7 +122,7 @@ profile as (
 QUERIES = {
     "p3_found": p3_found, "p3_orphans": p3_orphans, "p3_report": p3_report,
     "p4_found": p4_found, "p4_edges": p4_edges, "p4_reasons": p4_reasons,
-    "p6_found": p6_found, "p6_profile": p6_profile,
+    "p6_found": p6_found, "p6_profile": p6_profile, "p6_offices": p6_offices,
 }
 
 SQL = {
@@ -125,5 +133,7 @@ SQL = {
     "p4_edges": f'with {_LINES} select line_id, layer, cast(a as bigint) as "from", cast(b as bigint) as "to", cast(cast(c as float) as double) as value from judged where reason is null',
     "p4_reasons": f"with {_LINES} select file_id, reason, count(*) as n_lines from judged where reason is not null group by all",
     "p6_found": f"with {_PROFILE} select p.layer, key_field, key_value from profile p join totals t on p.layer = t.layer where 20 * n_rows >= scope_rows",
+    "p6_offices": """with r as (select node_id, arg_min(coalesce(Office, '?'), rec_id) as o from lazega_nodes where node_id is not null group by node_id)
+  select layer, nullif(o, '?') as Office, count(*) as memberships from affiliations join r on node = node_id group by all""",
     "p6_profile": f"with {_PROFILE} select p.layer, key_field, key_value, n_rows, n_partners, scope_rows from profile p join totals t on p.layer = t.layer",
 }
