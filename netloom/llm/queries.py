@@ -11,6 +11,7 @@ from netloom.llm.contamination import leaked_items
 from netloom.llm.cooccurrence import shared_baskets
 from netloom.llm.packing import pack_texts
 from netloom.llm.percentiles import combine_parts, local_digests, merge_digests, read_percentiles
+from netloom.llm.toxicity import Recipe, rates, score_documents, train_on
 
 PERCENTS = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
 EPS = 0.005
@@ -132,12 +133,26 @@ def p8_suites(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).join(items, "item_id").groupBy("suite").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return score_documents(docs, train_on(docs, table(spark, d, "abuse_labels")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where(F.col("score") >= Recipe.threshold).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(p9_scores(spark, d))
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_rank_errors": p1_rank_errors,
     "p2_found": p2_found, "p2_pairs": p2_pairs,
     "p5_found": p5_found, "p5_records": p5_records,
     "p7_containers": p7_containers, "p7_audit": p7_audit, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_suites": p8_suites,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
 SQL = {
