@@ -16,3 +16,14 @@ def uniform(seed: int, stream: str, *keys: Column) -> Column:
 
 def generator(seed: int, *stream: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed & (2**63 - 1), *stream])))
+
+
+def draw(seed: int, a: int, b: int, below: int) -> int:
+    """A whole number below a bound, hashed from its arguments (the finalizer of splitmix64, fixed values, twice)."""
+    x = seed ^ (a * 0x9E3779B97F4A7C15 + b * 0xD1B54A32D192ED03)
+    for _ in range(2):
+        x = (x + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+        x ^= x >> 31
+    return (x * below) >> 64

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.chance import generator, uniform
+from netloom.functions.chance import draw, generator, uniform
 from netloom.functions.errors import Failure
 from netloom.functions.tables import cut
 from netloom.operators.graph import numbered
@@ -78,10 +78,18 @@ def erdos_renyi(nodes: DataFrame, p: float, directed: bool, selfties: bool, seed
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            hits, size = [], 0
             for rank in b["rank"]:
-                hit = row(int(rank))
-                if len(hit):
-                    yield pd.DataFrame({"a": np.full(len(hit), rank, np.int64), "b": hit})
+                hits.append((int(rank), row(int(rank))))
+                size += len(hits[-1][1])
+                if size > 500_000:  # bounds what a task holds
+                    yield joined(hits)
+                    hits, size = [], 0
+            if size:
+                yield joined(hits)
+
+    def joined(hits: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.repeat([r for r, _ in hits], [len(h) for _, h in hits]), "b": np.concatenate([h for _, h in hits])})
 
     return _named(ranked.select("rank").mapInPandas(rows, "a long, b long"), ranked)
 
@@ -133,7 +141,7 @@ def barabasi_albert(nodes: DataFrame, m: int, seed: int) -> DataFrame:
             # a place in the list of all ends before this edge's own node: 2 * (edges before the node)
             node = m + 1 + (edge - clique) // m
             before = 2 * (clique + (node - m - 1) * m)
-            place = int(generator(seed, 3, edge, attempt).integers(before))
+            place = draw(seed, edge, attempt, before)
             if place < len(head):
                 return int(head[place])
             e = place // 2

@@ -14,7 +14,7 @@ from netloom.functions.conditions import compare
 from netloom.functions.tables import cut
 
 #: Hyperedges beyond this size are never enumerated pair by pair.
-LARGE = 512
+LARGE = 128
 
 
 def arcs(edges: DataFrame, directed: bool) -> DataFrame:
@@ -83,20 +83,22 @@ def degree(nodes: DataFrame, edges: DataFrame, directed: bool, direction: str =
 def two_mode_degree(nodes: DataFrame, members: DataFrame, large: int = LARGE) -> DataFrame:
     """(node_id, degree): number of distinct alters over all hyperedges, without projecting the layer.
 
-    Small hyperedges are enumerated.  For large ones, nodes with the same set of large hyperedges form a class; a
-    class reaches all nodes of all classes whose set meets its own, so only classes are paired, and their sizes added.
-    Alters met in a small hyperedge count if the two sets do not meet.
+    Small hyperedges are enumerated.  A large one is a set of bitmaps, one for each range of ids; nodes with the same set of
+    large hyperedges form a class, whose reach is the count of bits of the united bitmaps.  Alters met in a small
+    hyperedge count if their sets of large hyperedges do not meet.
     """
     members = members.select("hyper_name", "node_id")
     sizes = members.groupBy("hyper_name").agg(F.count("*").alias("size"))
     members = members.join(sizes, "hyper_name")
     big = members.where(F.col("size") > large)
     sets = big.groupBy("node_id").agg(F.sort_array(F.collect_set("hyper_name")).alias("set"))
-    classes = sets.groupBy("set").agg(F.count("*").alias("n"))
-    open_ = classes.select("set", F.explode("set").alias("h"), "n")
-    meets = open_.select("set", "h").join(open_.select(F.col("set").alias("other"), "h", "n"), "h").select("set", "other", "n").distinct()
-    reach = meets.groupBy("set").agg((F.sum("n") - 1).alias("far"))
-    far = sets.join(reach, "set").select("node_id", "far")
+    sets = sets.withColumn("class", F.md5(F.array_join(F.transform("set", lambda h: F.md5(h.cast("binary"))), "")))
+    bits = big.groupBy("hyper_name", F.bitmap_bucket_number("node_id").alias("range")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node_id")).alias("bits"))
+    classes = sets.groupBy("class").agg(F.first("set").alias("set")).select("class", F.explode("set").alias("hyper_name"))
+    united = classes.join(bits, "hyper_name").groupBy("class", "range").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    reach = united.groupBy("class").agg((F.sum("n") - 1).alias("far"))
+    far = sets.select("node_id", "class").join(reach, "class").select("node_id", "far")
+    sets = sets.drop("class")
 
     small = members.where(F.col("size") <= large).select("hyper_name", "node_id").join(sets, "node_id", "left")
     a = small.select("hyper_name", F.col("node_id").alias("u"), F.col("set").alias("su"))
