@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from netloom.functions.chance import DEFAULT_SEED, uniform
 from netloom.functions.conditions import attribute_condition
@@ -57,10 +56,15 @@ def orders_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def next_of(spark: SparkSession, d: str) -> DataFrame:
-    """Arcs between successive users of the event table, valued by how often; one global order is what the layer is defined by."""
-    events = table(spark, d, "events").select("user_id", "ts", "event_id")
-    pairs = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(W.orderBy("ts", "event_id")).alias("dst"))
-    return pairs.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("float").alias("value"))
+    """Arcs between successive users of the event table, valued by how often.
+
+    The global order is made by ranges, so successors meet in a join on their number rather than in one task.
+    """
+    events = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"))
+    ranked = graph.numbered(events, "at", "k")
+    after = ranked.select((F.col("k") - 1).alias("k"), F.col("user_id").alias("dst"))
+    pairs = ranked.select("k", F.col("user_id").alias("src")).join(after, "k")
+    return pairs.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("float").alias("value"))
 
 
 _NODES = "nodes as (select * exclude (rn, deleted_at), deleted_at is not null as Deleted from (select node_id, Status, Gender, Office, Practice, LawSchool, YearsWithFirm, Age, deleted_at, row_number() over (partition by node_id order by rec_id) as rn from lazega_nodes where node_id is not null) where rn = 1)"
