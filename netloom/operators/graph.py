@@ -112,13 +112,12 @@ def two_mode_degree(nodes: DataFrame, members: DataFrame, large: int = LARGE) ->
 
 def density(nodes: DataFrame, edges: DataFrame, directed: bool, selfties: bool) -> DataFrame:
     """(edges, potential, density); NaN where nothing is possible."""
-    n = nodes.agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    both = nodes.agg(F.count("*").alias("n"), none.alias("edges")).unionByName(edges.agg(none.alias("n"), F.count("*").alias("edges")))
+    row = both.agg(F.sum("n").alias("n"), F.sum("edges").alias("edges"))
     pairs = F.col("n") * (F.col("n") if selfties else F.col("n") - 1) if directed else F.col("n") * (F.col("n") + (1 if selfties else -1)) / 2
-    both = edges.agg(F.count("*").alias("edges")).crossJoin(n)  # one row each
-    possible = F.when(F.col("n") < 2, 0).otherwise(pairs).cast("long")
-    return both.select("edges", possible.alias("potential")).withColumn(
-        "density", F.when(F.col("potential") > 0, F.col("edges") / F.col("potential")).otherwise(F.lit(float("nan")))
-    )
+    row = row.select("edges", F.when(F.col("n") < 2, 0).otherwise(pairs).cast("long").alias("potential"))
+    return row.withColumn("density", F.when(F.col("potential") > 0, F.col("edges") / F.col("potential")).otherwise(F.lit(float("nan"))))
 
 
 def two_mode_density(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -245,19 +244,14 @@ def summary(nodes: DataFrame, name: str, kind: str) -> DataFrame:
         true = F.count_if(c)
         ratio = F.when(F.count(c) > 0, true * 100.0 / F.count(c)).otherwise(0.0)
         return nodes.agg(*base, true.alias("count_true"), F.count_if(~c).alias("count_false"), ratio.alias("ratio_true"))
-    mean = F.avg(c)
+    x = c.cast("double")
+    mean, spread = F.avg(x), F.stddev_pop(x)
     if kind == "float":  # the mean is rounded to the attribute's own precision, and deviations are taken from that
-        row = nodes.agg(F.avg(c).cast("float").cast("double").alias("m")).select("m")
-        joined = nodes.select("node_id", c.alias("x")).crossJoin(F.broadcast(row))  # one row
-        x = F.col("x").cast("double")
-        return joined.agg(
-            F.count("x").alias("count"), F.count_if(F.col("x").isNull()).alias("missing"), (F.count("x") * 100.0 / F.count("*")).alias("percentage"),
-            F.first("m").alias("mean"), F.percentile(x, 0.5).alias("median"), F.sqrt(F.avg((x - F.col("m")) * (x - F.col("m")))).alias("stddev"),
-            F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"),
-        )
+        near = mean.cast("float").cast("double")
+        mean, spread = near, F.sqrt(F.var_pop(x) + (F.avg(x) - near) * (F.avg(x) - near))
     return nodes.agg(
-        *base, mean.alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_pop(c).alias("stddev"),
-        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3"),
+        *base, mean.alias("mean"), F.percentile(x, 0.5).alias("median"), spread.alias("stddev"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"),
     )
 
 
