@@ -165,7 +165,7 @@ class Index:
         return found
 
     def leaks(self, text: np.ndarray, triples: np.ndarray, passage: int, shift: int) -> bool:
-        """Whether the text carries enough of the passage around the shift; exact alignment of the words there."""
+        """Whether the text carries enough of the passage around the shift; exact local alignment of the words there."""
         p, how = self.passages[passage], self.how
         n, slack = len(p), len(self.passages[passage]) // how.edits + 24
         low = max(0, (shift << 4) - slack)
@@ -174,13 +174,58 @@ class Index:
         if np.count_nonzero(self.triples[passage][triples[low:high]]) < how.share * n * (1 - 3 / how.edits) / 2 - 2:
             return False
         part = text[low:high]
-        return longest_carried(p, part, how.edits) >= how.share * n
+        need = how.share * n
+        if not may_carry(p, part, how.edits, need):
+            return False
+        return aligned(p, part, how.edits) >= need or longest_carried(p, part, how.edits) >= need
 
 
 def longest_carried(passage: np.ndarray, text: np.ndarray, edits: int) -> int:
     """Most words of the passage that one stretch of the text carries in order with at most 1/edits of the stretch edited.
 
-    The two are aligned with the fewest edits (ends of the text are free); the stretch is the best run of that alignment.
+    Any piece of the passage may meet any stretch: for each number of edits up to the most that can be allowed, the most words
+    matched by an alignment that ends at a pair of places, begun anywhere.
+    """
+    n, m = len(passage), len(text)
+    if not n or not m:
+        return 0
+    most = min(n, m) // max(1, edits - 1)
+    best = np.zeros(most + 1, np.int32)
+    old = np.zeros((most + 1, m + 1), np.int32)
+    for word in passage:
+        new = np.zeros_like(old)
+        new[:, 1:] = (old[:, :-1] + 1) * (text == word)
+        np.maximum(new[1:, 1:], old[:-1, :-1], out=new[1:, 1:])
+        np.maximum(new[1:], old[:-1], out=new[1:])
+        for e in range(1, most + 1):
+            np.maximum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])
+        np.maximum(best, new.max(axis=1), out=best)
+        old = new
+    return int(max(x for e, x in enumerate(best.tolist()) if x >= (edits - 1) * e))
+
+
+def may_carry(passage: np.ndarray, text: np.ndarray, edits: int, need: float) -> bool:
+    """False only where longest_carried is less than need.
+
+    A stretch with m words matched and e edits, m >= need and m >= (edits - 1) * e, has m - x * (edits - 1) * e >= (1 - x) * need
+    for every x from 0 to 1, so the best local alignment at such a price of an edit must reach that.
+    """
+    x = np.array([[0.125], [0.25], [0.5]])
+    price = x * (edits - 1)
+    along = price * np.arange(len(text) + 1)
+    best, row = np.zeros((3, 1)), np.zeros_like(along)
+    for word in passage:
+        new = np.maximum(row - price, 0.0)
+        np.maximum(new[:, 1:], row[:, :-1] + np.where(text == word, 1.0, -price), out=new[:, 1:])
+        row = np.maximum.accumulate(new + along, axis=1) - along
+        np.maximum(best, row.max(axis=1, keepdims=True), out=best)
+    return bool((best >= (1 - x) * need - 1e-6).all())
+
+
+def aligned(passage: np.ndarray, text: np.ndarray, edits: int) -> int:
+    """Words carried in the one alignment of the whole passage with the fewest edits (ends of the text are free).
+
+    Never more than longest_carried, and quicker.
     """
     n, m = len(passage), len(text)
     if not n or not m:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from netloom.llm.contamination import Index, Leaks, leaked_items, longest_carried, words_of
+from netloom.llm.contamination import Index, Leaks, aligned, leaked_items, longest_carried, may_carry, words_of
 
 WORDS = [f"{a}{b}" for a in ("har", "bri", "lam", "tor", "vel", "gan", "mus", "pel") for b in ("bour", "dge", "ps", "quin", "vet", "den", "tard", "lo", "ric", "sam")]
 
@@ -44,6 +44,29 @@ def test_alignment_is_never_too_generous(p, t):
     assert longest_carried(np.array(p), np.array(t), 4) <= brute(p, t, 4)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=9), st.lists(st.integers(1, 4), min_size=1, max_size=9))
+def test_judge_is_the_brute_force(p, t):
+    best = brute(p, t, 4)
+    p, t = np.array(p), np.array(t)
+    assert aligned(p, t, 4) <= longest_carried(p, t, 4) == best
+    assert may_carry(p, t, 4, best)
+
+
+def test_words_that_did_not_leak_do_not_pull_on_the_stretch():
+    """Stretches of exactly 40 % are accepted, though the rest of the passage finds its common words around them."""
+    rng = random.Random(5)
+    common = "the a and of to in it is".split()
+    mixed = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(n)]
+    index = Index([mixed(60) for _ in range(150)], Leaks())
+    vocabulary = {v: k for k, v in index.vocabulary.items()}
+    for k, p in enumerate(index.passages):
+        at = rng.randrange(len(p) - 24 + 1)
+        text = mixed(80) + [vocabulary[i] for i in p[at : at + 24].tolist()] + mixed(80)
+        ids = np.array([index.vocabulary.get(w, 0) for w in text], np.int32)
+        assert index.leaks(ids, index.hashed_triples(ids), k, (80 - at) >> 4)
+
+
 def test_alignment_of_whole_and_part():
     rng = random.Random(0)
     p = list(range(1, 61))
