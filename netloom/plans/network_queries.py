@@ -319,6 +319,31 @@ add(
   select node_id, case when node_id = {JOINED} then 0 when node_id in (select node_id from one) then 1 else 2 end as distance from (select node_id from two union select {JOINED}::bigint)""",
 )
 
+# the same without a limit of steps; the queries above stop at 6, 6 and 2, as their SQL does
+_WHOLE_BFS = """bfs(node_id, distance) using key (node_id) as (select {ego}::bigint, 0 union
+  select l.b, min(x.distance) + 1 from bfs x join links l on x.node_id = l.a left join recurring.bfs k on k.node_id = l.b where k.node_id is null group by l.b)"""
+#: Hyperedges as vertices of their own, from 10^12 on, so that a membership step is two links.
+_THROUGH = """h as (select hyper_name, 1000000000000 + row_number() over (order by hyper_name) as k from (select distinct hyper_name from members)),
+  halves as (select node_id as a, k as b from members join h on members.hyper_name = h.hyper_name union all select k, node_id from members join h on members.hyper_name = h.hyper_name)"""
+_HALVED = "select node_id, cast(distance // 2 as integer) as distance from bfs where node_id < 1000000000000"
+add(
+    "n_distances_arcs_whole",
+    lambda s, d: graph.distances(_from(s, OUT), [graph.step_one_mode(arcs_of(s, d), True)])[0],
+    f"with recursive {_ARCS}, links as (select src as a, dst as b from arcs), {_WHOLE_BFS.format(ego=OUT)} select node_id, distance from bfs",
+)
+add(
+    "n_distances_all_layers_whole",
+    lambda s, d: graph.distances(_from(s, OUT), [graph.step_one_mode(arcs_of(s, d), True), graph.step_one_mode(ties_of(s, d), False), graph.step_two_mode(members_of(s, d))])[0],
+    f"""with recursive {_ARCS}, {_TIES}, {_MEMBERS}, {_THROUGH}, one_mode as (select src, dst from arcs union select src, dst from both_ways),
+  mids as (select src, dst, 2000000000000 + row_number() over (order by src, dst) as k from one_mode),
+  links as (select a, b from halves union all select src, k from mids union all select k, dst from mids), {_WHOLE_BFS.format(ego=OUT)} {_HALVED}""",
+)
+add(
+    "n_distances_two_mode_whole",
+    lambda s, d: graph.distances(_from(s, JOINED), [graph.step_two_mode(members_of(s, d))])[0],
+    f"with recursive {_MEMBERS}, {_THROUGH}, links as (select a, b from halves), {_WHOLE_BFS.format(ego=JOINED)} {_HALVED}",
+)
+
 # sampling and generators: seeded, so the same rows every time, but no SQL
 add("n_random_node", lambda s, d: nodes_of(s, d).select("node_id").orderBy(uniform(DEFAULT_SEED, "node", F.col("node_id"))).limit(1))
 add("n_random_alter", lambda s, d: graph.alters(arcs_of(s, d), True, OUT, "both").orderBy(uniform(DEFAULT_SEED, "alter", F.col("alter"))).limit(1))

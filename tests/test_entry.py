@@ -52,3 +52,15 @@ def test_query_without_sql_gives_the_same_rows_again(name, spark):
 def test_contract(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(CORE) <= set(entry.queries())
+
+
+def test_distances_have_no_limit_of_steps(spark, tmp_path):
+    """A chain of 12 arcs, and one of 5 hyperedges, are followed to their ends."""
+    o, j = network_queries.OUT, network_queries.JOINED
+    chain = [(k, a, b, 1.0) for k, (a, b) in enumerate(zip([o, *range(101, 112)], range(101, 113)))]
+    spark.createDataFrame(chain, "row_id long, `from` long, `to` long, value double").write.parquet(f"{tmp_path}/trade_edges.parquet")
+    spark.createDataFrame([(0, "1", "2", None)], "row_id long, node1 string, node2 string, value double").write.parquet(f"{tmp_path}/call_edges.parquet")
+    members = [("m", f"h{k}", n) for k, (a, b) in enumerate(zip([j, *range(112, 116)], range(112, 117))) for n in (a, b)]
+    spark.createDataFrame(members, "layer string, affiliation string, node long").write.parquet(f"{tmp_path}/affiliations.parquet")
+    far = lambda name: max(r["distance"] for r in CORE[name](spark, str(tmp_path)).collect())
+    assert (far("n_distances_arcs_whole"), far("n_distances_two_mode_whole"), far("n_distances_all_layers_whole")) == (12, 5, 16)
