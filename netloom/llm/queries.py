@@ -67,6 +67,12 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("layer", F.col("item_1").alias("node_1"), F.col("item_2").alias("node_2"), "shared", "lift", "conviction")
 
 
+def p2_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs that share a hyperedge, rarer than by chance or not, with lift and conviction."""
+    pairs = shared_baskets(table(spark, d, "affiliations"), scope="layer", basket="affiliation", item="node", min_shared=1, lift=0.0)
+    return pairs.select("layer", F.col("item_1").alias("node_1"), F.col("item_2").alias("node_2"), "shared", "lift", "conviction")
+
+
 _BASKETS = """
 af as (select distinct layer, affiliation, node from affiliations where layer is not null and affiliation is not null and node is not null),
 big as (select layer, count(distinct affiliation) as baskets from af group by layer),
@@ -148,7 +154,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_percentiles": p1_percentiles, "p1_rank_errors": p1_rank_errors,
-    "p2_found": p2_found, "p2_pairs": p2_pairs,
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_all_pairs": p2_all_pairs,
     "p5_found": p5_found, "p5_records": p5_records,
     "p7_containers": p7_containers, "p7_audit": p7_audit, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_suites": p8_suites,
@@ -160,6 +166,8 @@ SQL = {
     "p1_rank_errors": _percent_sql("true as within_bound"),
     "p2_found": f"with {_BASKETS.format(t=6, lift=4)} select layer, node_1, node_2 from scored",
     "p2_pairs": f"""with {_BASKETS.format(t=3, lift=1)} select layer, node_1, node_2, shared, cast(shared * baskets as double) / (a * b) as lift,
+  case when shared < least(a, b) then (1 - greatest(a, b) / baskets) / (1 - shared / least(a, b)) end as conviction from scored""",
+    "p2_all_pairs": f"""with {_BASKETS.format(t=1, lift=0)} select layer, node_1, node_2, shared, cast(shared * baskets as double) / (a * b) as lift,
   case when shared < least(a, b) then (1 - greatest(a, b) / baskets) / (1 - shared / least(a, b)) end as conviction from scored""",
     "p5_found": f"with {_LABELS} select first_id as row_id_1, row_id as row_id_2 from g where row_id <> first_id",
     "p7_audit": """select pack_name, count(*) as texts, 0::bigint as wrongly_split, 0::bigint as overfull

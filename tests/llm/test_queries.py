@@ -30,3 +30,10 @@ def test_query(name, spark):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_others_run(name, spark):
     assert QUERIES[name](spark, FOLDER).columns
+
+
+def test_all_pairs_are_not_cut(spark, tmp_path):
+    rows = [("l", f"h{k}", n) for k, n in ((0, 1), (0, 2), (1, 1), (2, 1), (3, 2), (4, 2))]
+    spark.createDataFrame(rows, "layer string, affiliation string, node long").write.parquet(f"{tmp_path}/affiliations.parquet")
+    got = [(r["node_1"], r["node_2"], r["shared"], round(r["lift"], 3)) for r in QUERIES["p2_all_pairs"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 2, 1, 0.556)]
