@@ -105,11 +105,7 @@ class Nodeset:
         return self.table.has(lambda r: r[0] == node, F.col("node_id") == node)
 
     def need(self, *nodes: int) -> None:
-        wanted = set(nodes)
-        held = {r[0] for r in self.table.waiting}
-        if rest := wanted - held:
-            held |= {r[0] for r in self.table.base.where(F.col("node_id").isin(*rest)).select("node_id").collect()}
-        if missing := sorted(wanted - held):
+        if missing := sorted(set(nodes) - set(self.held(list(nodes)))):
             raise Failure("NodeNotFound", f"Node {', '.join(map(str, missing))} not found in nodeset '{self.name}'.")
 
     def add(self, node: int) -> None:
@@ -121,10 +117,17 @@ class Nodeset:
         self.table.add((node, *[None] * len(self.attributes)))
         self.changed()
 
+    def held(self, nodes: list[int]) -> list[int]:
+        """Those of the ids that are nodes, by one job whatever their number."""
+        wanted = set(nodes)
+        there = wanted & {r[0] for r in self.table.waiting}
+        if rest := wanted - there:
+            there |= {r[0] for r in self.table.base.where(F.col("node_id").isin(*rest)).select("node_id").collect()}
+        return sorted(there)
+
     def ensure(self, nodes: list[int]) -> None:
-        for node in nodes:
-            if not self.has(node):
-                self._append(node)
+        for node in sorted(set(nodes) - set(self.held(nodes))):
+            self._append(node)
 
     def ensure_all(self, ids: DataFrame) -> None:
         """Adds the ids (column node_id) that are missing, in one pass."""
@@ -359,7 +362,7 @@ class Network:
             self.nodeset.ensure(sorted(set(nodes)))
             kept = sorted(set(nodes))
         else:
-            kept = [n for n in sorted(set(nodes)) if self.nodeset.has(n)]
+            kept = self.nodeset.held(nodes)
         if layer.has_hyperedge(hyper):
             layer.table.keep(F.col("hyper_name") != hyper)
         else:
@@ -404,16 +407,16 @@ class Network:
             return None if direction == "in" else "out"
         return direction
 
-    def alters(self, ego: int, names: list[str] | None, direction: str, unique: bool) -> list[int]:
-        """Neighbours over layers in the given order, named layers repeated if named twice; unique: sorted, each once."""
+    def alters(self, ego: int, names: list[str] | None, direction: str, unique: bool) -> DataFrame:
+        """(layer, alter): neighbours over layers by their place, named layers repeated if named twice; unique: each once, with layer 0."""
         self.nodeset.need(ego)
         layers = [self.layer(n) for n in names] if names else list(self.layers.values())
-        out: list[int] = []
-        for layer in layers:
+        out = self.spark.createDataFrame([], "layer int, alter long")
+        for k, layer in enumerate(layers):
             use = self.out_only(layer, direction)
             if use is not None:
-                out += sorted(r[0] for r in layer.alters(ego, use).collect())
-        return sorted(set(out)) if unique else out
+                out = out.unionByName(layer.alters(ego, use).select(F.lit(0 if unique else k).alias("layer"), "alter"))
+        return out.distinct() if unique else out
 
     def pairs(self, layer) -> DataFrame:
         """(src, dst) that connect, for components."""
@@ -453,13 +456,13 @@ class Network:
             return float(graph.two_mode_density(self.nodeset.df, layer.df).first()["density"])
         return float(graph.density(self.nodeset.df, layer.df, layer.directed, layer.selfties).first()["density"])
 
-    def components(self, name: str, attribute: str | None) -> tuple[str, list[int]]:
+    def components(self, name: str, attribute: str | None) -> tuple[str, DataFrame]:
+        """Name of the attribute and (component, count)."""
         layer = self.layer(name)
         attribute = attribute or re.sub(r"\W", "_", f"{name}_componentIndex")
         values = cut(graph.components(self.nodeset.df, self.pairs(layer)))
         self.nodeset.set_values(attribute, "int", values.withColumnRenamed("component", "value"))
-        sizes = values.groupBy("component").count().orderBy(F.desc("count")).select("count").collect()
-        return attribute, [r[0] for r in sizes]
+        return attribute, values.groupBy("component").count()
 
     def symmetrize(self, name: str, method: str, new: str | None) -> str | None:
         """Name of the new layer; None if the layer is undirected already."""
