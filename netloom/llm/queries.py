@@ -11,7 +11,7 @@ from netloom.llm.contamination import leaked_items
 from netloom.llm.cooccurrence import shared_baskets
 from netloom.llm.packing import pack_texts
 from netloom.llm.percentiles import combine_parts, local_digests, merge_digests, read_percentiles
-from netloom.llm.toxicity import Recipe, rates, score_documents, train_on
+from netloom.llm.toxicity import Classifier, rates, score_documents, train_on
 
 PERCENTS = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
 EPS = 0.005
@@ -139,17 +139,22 @@ def p8_suites(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).join(items, "item_id").groupBy("suite").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
 
 
+def _model(spark: SparkSession, d: str) -> Classifier:
+    return train_on(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return score_documents(docs, train_on(docs, table(spark, d, "abuse_labels")))
+    return score_documents(table(spark, d, "documents"), _model(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_scores(spark, d).where(F.col("score") >= Recipe.threshold).select("doc_id")
+    model = _model(spark, d)
+    return score_documents(table(spark, d, "documents"), model).where(F.col("score") >= model.threshold).select("doc_id")
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rates(p9_scores(spark, d))
+    model = _model(spark, d)
+    return rates(score_documents(table(spark, d, "documents"), model), model.threshold)
 
 
 QUERIES = {
