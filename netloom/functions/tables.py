@@ -6,16 +6,20 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.functions.errors import Failure
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one is set only where none is configured (tests)."""
+    """The shared folder the session names; a local one is set only in a local session that names none (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local") or not named and sc.master.startswith("local-cluster"):
+            raise Failure("DirectoryNotFound", "Executors on several machines need a shared folder: set spark.checkpoint.dir.")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="netloom-checkpoint-"))
     return sc.getCheckpointDir()
 

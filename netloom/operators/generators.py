@@ -94,10 +94,11 @@ def erdos_renyi(nodes: DataFrame, p: float, directed: bool, selfties: bool, seed
     return _named(ranked.select("rank").mapInPandas(rows, "a long, b long"), ranked)
 
 
-def watts_strogatz(nodes: DataFrame, k: int, beta: float, seed: int, rounds: int = 40) -> DataFrame:
+def watts_strogatz(nodes: DataFrame, k: int, beta: float, seed: int) -> DataFrame:
     """Ring lattice with k neighbours; each edge is rewired with probability beta to a node its start is not tied to.
 
-    Proposals that meet an existing edge or one another are drawn again; what is still open after `rounds` stays in place.
+    Proposals that meet an existing edge or one another are drawn again, until none is open.  Only edges whose start is tied to all
+    others by then have no place to go, and stay where they were.
     """
     ranked, n = _ranked(nodes)
     if k % 2 or k < 0 or k >= max(n, 1) or not 0 <= beta <= 1:
@@ -108,9 +109,14 @@ def watts_strogatz(nodes: DataFrame, k: int, beta: float, seed: int, rounds: int
     lattice = lattice.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "j", "b", "moved").dropDuplicates(["lo", "hi"])
     fixed = cut(lattice.where(~F.col("moved")).select("lo", "hi"))
     open_ = cut(lattice.where("moved").select("a", "j", "b"))
-    for t in range(rounds):
-        if open_.isEmpty():
-            break
+    t = 0
+    while not open_.isEmpty():
+        t += 1
+        if t % 10 == 0:  # starts that are tied to all others can't be served
+            ends = fixed.select(F.explode(F.array("lo", "hi")).alias("a")).join(open_.select("a").distinct(), "a", "left_semi")
+            full = ends.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= n - 1).select("a")
+            if open_.join(full, "a", "left_anti").isEmpty():
+                break
         aim = F.floor(uniform(seed, "ws-aim", F.lit(t), F.col("a"), F.col("j")) * n).cast("long")
         tried = open_.withColumn("to", aim).withColumn("lo", F.least("a", "to")).withColumn("hi", F.greatest("a", "to"))
         good = tried.where("a <> to").join(fixed, ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"])

@@ -85,27 +85,31 @@ def two_mode_degree(nodes: DataFrame, members: DataFrame, large: int = LARGE) ->
 
     Small hyperedges are enumerated.  A large one is a set of bitmaps, one for each range of ids; nodes with the same set of
     large hyperedges form a class, whose reach is the count of bits of the united bitmaps.  Alters met in a small
-    hyperedge count if their sets of large hyperedges do not meet.
+    hyperedge count if their classes share no large hyperedge.  Sets are never gathered: a class is known by its size and two sums.
     """
     members = members.select("hyper_name", "node_id")
     sizes = members.groupBy("hyper_name").agg(F.count("*").alias("size"))
     members = members.join(sizes, "hyper_name")
-    big = members.where(F.col("size") > large)
-    sets = big.groupBy("node_id").agg(F.sort_array(F.collect_set("hyper_name")).alias("set"))
-    sets = sets.withColumn("class", F.md5(F.array_join(F.transform("set", lambda h: F.md5(h.cast("binary"))), "")))
+    big = members.where(F.col("size") > large).select("hyper_name", "node_id")
+    prints = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("hyper_name")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(11), "hyper_name"), 20)).alias("y")]
+    classed = big.groupBy("node_id").agg(*prints).select("node_id", F.struct("k", "x", "y").alias("class"))
+    model = classed.groupBy("class").agg(F.min("node_id").alias("node_id"))  # one node stands for its class
+    held = cut(big.join(model, "node_id").select("class", "hyper_name"))
     bits = big.groupBy("hyper_name", F.bitmap_bucket_number("node_id").alias("range")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node_id")).alias("bits"))
-    classes = sets.groupBy("class").agg(F.first("set").alias("set")).select("class", F.explode("set").alias("hyper_name"))
-    united = classes.join(bits, "hyper_name").groupBy("class", "range").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    united = held.join(bits, "hyper_name").groupBy("class", "range").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
     reach = united.groupBy("class").agg((F.sum("n") - 1).alias("far"))
-    far = sets.select("node_id", "class").join(reach, "class").select("node_id", "far")
-    sets = sets.drop("class")
-
-    small = members.where(F.col("size") <= large).select("hyper_name", "node_id").join(sets, "node_id", "left")
-    a = small.select("hyper_name", F.col("node_id").alias("u"), F.col("set").alias("su"))
-    b = small.select("hyper_name", F.col("node_id").alias("v"), F.col("set").alias("sv"))
-    apart = F.coalesce(~F.arrays_overlap("su", "sv"), F.lit(True))
-    near = a.join(b, "hyper_name").where((F.col("u") != F.col("v")) & apart).select("u", "v").distinct()
-    near = near.groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("near"))
+    far = classed.join(reach, "class").select("node_id", "far")
+
+    small = members.where(F.col("size") <= large).select("hyper_name", "node_id").join(classed, "node_id", "left")
+    a = small.select("hyper_name", F.col("node_id").alias("u"), F.col("class").alias("cu"))
+    b = small.select("hyper_name", F.col("node_id").alias("v"), F.col("class").alias("cv"))
+    met = cut(a.join(b, "hyper_name").where(F.col("u") < F.col("v")).groupBy("u", "v").agg(F.first("cu").alias("cu"), F.first("cv").alias("cv")))
+    # pairs of classes that met: those that share a large hyperedge are counted by it already
+    asked = met.where("cu is not null and cv is not null").select("cu", "cv").distinct()
+    other = held.select(F.col("class").alias("cv"), "hyper_name")
+    shared = asked.join(held.withColumnRenamed("class", "cu"), "cu").join(other, ["cv", "hyper_name"], "left_semi").select("cu", "cv").distinct()
+    near = met.join(shared, ["cu", "cv"], "left_anti").select(F.explode(F.array("u", "v")).alias("node_id"))
+    near = near.groupBy("node_id").agg(F.count("*").alias("near"))
     out = nodes.select("node_id").join(far, "node_id", "left").join(near, "node_id", "left")
     return out.select("node_id", (F.coalesce("far", F.lit(0)) + F.coalesce("near", F.lit(0))).cast("int").alias("degree"))
 
@@ -136,16 +140,16 @@ def bipartite(members: DataFrame) -> DataFrame:
     return members.join(names, "hyper_name").select(F.col("node_id").alias("src"), F.col("h").alias("dst"))
 
 
-def min_labels(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def min_labels(pairs: DataFrame) -> DataFrame:
     """(vertex, label): smallest vertex of each vertex's connected component, for all vertices in (src, dst).  Eager.
 
     Alternating large-star and small-star steps, which take O(log^2 n) rounds on any graph; every step is an aggregation
-    with partial sums and an equi-join, and lineage is cut after each round.
+    with partial sums and an equi-join, and lineage is cut after each round.  The rounds end when nothing changes.
     """
     loops = pairs.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     now = cut(pairs.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         # large star: larger neighbours of u are tied to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
