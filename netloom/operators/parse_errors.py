@@ -8,12 +8,20 @@ dictionary of invalid values with reasons, and that dictionary is joined back to
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOAT_MAX = 3.4028234663852886e38
 NODE_MAX = 4294967295
+#: What stands for the separator where quotation marks are looked at, and a cell, a whole line and a quoted part in terms of it.
+MASK = "\u0001"
+CELL = f'"[^"]*+(?:""[^"]*+)*+"|[^"{MASK}]*+'
+LEGAL = rf"\A(?:{CELL})(?:{MASK}(?:{CELL}))*+\z"
+QUOTED = '"[^"]*+"'
+#: A file without a time of delivery comes after those with one.
+FOREVER = datetime(9999, 12, 31)
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 DIGITS = r"\A[0-9]+\z"
 
@@ -49,58 +57,53 @@ EDGE_FIELDS = (Field("from", "node"), Field("to", "node"), Field("value", "real"
 
 
 def split_lines(lines: DataFrame, files: DataFrame, fields: tuple[Field, ...] = EDGE_FIELDS) -> DataFrame:
-    """Data lines with `fault` (null, `file`, `separator`, `quoting` or `column count`) and the array `cells`.
+    """Data lines with `fault` (null, `file`, `separator`, `quoting` or `column count`) and cells c0, c1, ... (null where there is a fault).
 
-    Header lines and lines of blanks are left out.
+    Header lines and lines of blanks are left out.  Lines without quotation marks are cut by plain string functions; only the others
+    are taken to pieces.
     """
-    known = files.where("file_id is not null").dropDuplicates(["file_id"])
-    known = known.select("file_id", "layer", F.col("sep_char").alias("sep"), F.coalesce("has_header", F.lit(False)).alias("header"), F.lit(True).alias("known"))
-    rows = lines.select("line_id", "file_id", "line_no", F.regexp_replace("raw_line", r"\r\z", "").alias("raw"))
-    rows = rows.where("raw is not null").join(known, "file_id", "left")
-    rows = rows.where("not (coalesce(header, false) and line_no <=> 1)").where(r"not raw rlike '\\A[ \t]*\\z'")
-
-    # Pieces between quotation marks: even ones are outside quotes, odd ones inside; an empty even piece between
-    # two odd ones is a doubled mark.
-    bits = F.split("raw", '"', -1)
-    last = F.size("bits") - 1
-    hide = F.when(F.col("sep") == "\u0001", "\u0002").otherwise("\u0001")
-    # outside quotes: nothing, or up to the separators that divide this piece from its quoted neighbours
-    in_place = lambda x, i: (F.pmod(i, F.lit(2)) == 1) | (x == "") | (
-        ((i == 0) | x.startswith(F.col("sep"))) & ((i == last) | x.endswith(F.col("sep")))
-    )
+    first = F.min_by(F.struct("layer", "sep_char", "has_header"), F.struct(F.coalesce("delivered_at", F.lit(FOREVER)), "layer", "sep_char", "has_header"))
+    dated = files if "delivered_at" in files.columns else files.withColumn("delivered_at", F.lit(None).cast("timestamp_ntz"))
+    known = dated.where("file_id is not null").groupBy("file_id").agg(first.alias("f"))
+    known = known.select("file_id", "f.layer", F.col("f.sep_char").alias("sep"), F.coalesce("f.has_header", F.lit(False)).alias("header"), F.lit(True).alias("known"))
+    raw = F.when(F.endswith("raw_line", F.lit("\r")), F.expr("left(raw_line, length(raw_line) - 1)")).otherwise(F.col("raw_line"))
+    rows = lines.select("line_id", "file_id", "line_no", raw.alias("raw")).where("raw is not null").where(F.btrim("raw", F.lit(" \t")) != "")
+    rows = rows.join(known, "file_id", "left").where("not (coalesce(header, false) and line_no <=> 1)")
+
     plain = ~F.col("raw").contains('"')
-    rows = rows.withColumn("bits", F.when(~plain, bits))
-    legal = (F.pmod(last, F.lit(2)) == 0) & F.forall(F.transform("bits", in_place), lambda ok: ok)
-    masked = F.array_join(
-        F.transform(
-            "bits",
-            lambda x, i: F.when(F.pmod(i, F.lit(2)) == 1, F.replace(x, F.col("sep"), F.col("hide")))
-            .when((x == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(x),
-        ),
-        "",
-    )
-    rows = rows.withColumn("hide", hide).withColumn("bad_quotes", F.when(plain, F.lit(False)).otherwise(legal == F.lit(False)))
-    flat = F.when(plain, F.col("raw")).otherwise(masked)
-    quoted = F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))
-    cells = F.split(flat, quoted, -1)
-    rows = rows.withColumn("cells", F.when(F.length("sep") == 1, F.when(~F.col("bad_quotes"), cells)))
-    rows = rows.withColumn(
-        "cells",
-        F.transform("cells", lambda c: F.btrim(F.when(plain, c).otherwise(F.replace(c, F.col("hide"), F.col("sep"))), F.lit(" "))),
-    )
+    # in lines with quotation marks the separator becomes MASK, so that the patterns are fixed (MASK itself is part of no valid cell)
+    masked = F.replace(F.when(F.col("sep") == MASK, F.col("raw")).otherwise(F.replace("raw", F.lit(MASK), F.lit("\u0002"))), F.col("sep"), F.lit(MASK))
+    rows = rows.withColumn("masked", F.when(~plain & (F.length("sep") == 1), masked))
+    bare = F.regexp_replace("masked", QUOTED, "")
+    count = lambda text, sep: F.length(text) - F.length(F.replace(text, sep, F.lit(""))) + 1
     fault = (
         F.when(F.col("known").isNull(), "file")
         .when(F.col("sep").isNull() | (F.length("sep") != 1) | (F.col("sep") == '"'), "separator")
-        .when(F.col("bad_quotes"), "quoting")
-        .when(F.size("cells") != len(fields), "column count")
+        .when(~plain & ~F.col("masked").rlike(LEGAL), "quoting")
+        .when(F.when(plain, count(F.col("raw"), F.col("sep"))).otherwise(count(bare, F.lit(MASK))) != len(fields), "column count")
     )
-    return rows.withColumn("fault", fault).select("line_id", "file_id", "line_no", "layer", "raw", "fault", "cells")
+    rows = rows.withColumn("fault", fault)
+    pattern = rf"\A({CELL})" + rf"{MASK}({CELL})" * (len(fields) - 1) + r"\z"
+
+    def cell(k: int) -> Column:
+        part = F.regexp_extract("masked", pattern, k + 1)
+        inner = F.replace(F.regexp_replace(part, r'\A"|"\z', ""), F.lit('""'), F.lit('"'))
+        text = F.when(plain, F.split_part("raw", F.col("sep"), F.lit(k + 1))).otherwise(F.replace(inner, F.lit(MASK), F.col("sep")))
+        return F.when(F.col("fault").isNull(), F.btrim(text, F.lit(" ")))
+
+    return rows.select("line_id", "file_id", "line_no", "layer", "raw", "fault", *[cell(k).alias(f"c{k}") for k in range(len(fields))])
+
+
+def _exploded(rows: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """A row for each cell: its field's place and text."""
+    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"c{k}").alias("cell")) for k in range(len(fields))])
+    return rows.withColumn("x", F.explode(cells)).select(*rows.columns, "x.field", "x.cell")
 
 
 def invalid_values(split: DataFrame, fields: tuple[Field, ...] = EDGE_FIELDS) -> DataFrame:
     """(field, cell, why): the distinct cell texts that cannot be cast, each judged once."""
-    cells = split.where("fault is null").select(F.posexplode("cells").alias("field", "cell")).distinct()
+    names = [f"c{k}" for k in range(len(fields))]
+    cells = _exploded(split.where("fault is null").select(*names), fields).select("field", "cell").distinct()
     why = F.lit(None).cast("string")
     for i, field in reversed(list(enumerate(fields))):
         why = F.when(F.col("field") == i, field.reason(F.col("cell"))).otherwise(why)
@@ -110,22 +113,23 @@ def invalid_values(split: DataFrame, fields: tuple[Field, ...] = EDGE_FIELDS) ->
 def parse_lines(lines: DataFrame, files: DataFrame, fields: tuple[Field, ...] = EDGE_FIELDS) -> DataFrame:
     """All data lines with `reason` (null for valid lines), `detail` and the typed columns (null for invalid lines).
 
-    `lines` needs line_id, file_id, line_no, raw_line; `files` needs file_id, layer, sep_char, has_header; further
+    `lines` needs line_id, file_id, line_no, raw_line; `files` needs file_id, layer, sep_char, has_header and may have delivered_at; further
     columns are ignored.  A carriage return at the end is not part of a line.  Left out are null lines, lines of
     spaces and tabs only, and line 1 of a file with has_header (null counts as false).  reason is `file` (unknown
     or null file_id), `separator` (missing, not one character, or a quotation mark), `quoting`,
-    `column count` or `invalid value`; detail says which column and why for the last.  Repeated lines come out
-    once each; of several rows for one file one is taken; empty tables give no rows.
+    `column count` or `invalid value`; detail says which column and why for the last.  Repeated lines and lines without a
+    line_id come out once each; of several rows for one file the first delivered counts; empty tables give no rows.
     """
     split = split_lines(lines, files, fields)
     bad = invalid_values(split, fields)
-    cells = split.where("fault is null").select("line_id", F.posexplode("cells").alias("field", "cell"))
-    # line_id is unique; lines that hold invalid values are few, so only they are regrouped
-    hit = cells.join(bad, ["field", "cell"]).groupBy("line_id").agg(F.min(F.struct("field", "why")).alias("first"))
-    names = F.array(*[F.lit(f.name) for f in fields])
-    joined = split.join(hit, "line_id", "left")
+    names = [f"c{k}" for k in range(len(fields))]
+    # joined back by the cells themselves: lines that hold invalid values are few, so only their cells are regrouped
+    cells = _exploded(split.where("fault is null").select(*names), fields)
+    hit = cells.join(bad, ["field", "cell"]).groupBy(*names).agg(F.min(F.struct("field", "why")).alias("first"))
+    titles = F.array(*[F.lit(f.name) for f in fields])
+    joined = split.join(hit, names, "left")
     reason = F.coalesce("fault", F.when(F.col("first").isNotNull(), "invalid value"))
-    detail = F.when(F.col("first").isNotNull(), F.concat_ws(": ", F.get(names, F.col("first.field")), F.col("first.why")))
-    typed = [F.when(F.col("reason").isNull(), f.typed(F.get("cells", F.lit(i)))).alias(f.name) for i, f in enumerate(fields)]
+    detail = F.when(F.col("first").isNotNull(), F.concat_ws(": ", F.get(titles, F.col("first.field")), F.col("first.why")))
+    typed = [F.when(F.col("reason").isNull(), f.typed(F.col(f"c{i}"))).alias(f.name) for i, f in enumerate(fields)]
     joined = joined.withColumn("reason", reason).withColumn("detail", detail)
     return joined.select("line_id", "file_id", "line_no", "layer", "reason", "detail", *typed, "raw")
