@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from netloom.functions.tables import cut
+
 #: Keys per bucket, as a power of two.  A run is cut at bucket borders, so buckets are independent.
 BUCKET_BITS = 10
 #: A key with more references than this (or than total / MAX_HOT, if that is more) is split into shards.
 HOT_ROWS = 200_000
-#: At most so many keys can be hot, however large the input; their list is the only thing broadcast.
-MAX_HOT = 1_000
+#: At most so many keys can be hot, however large the input; their list (some 20 MB) is the only thing broadcast.
+MAX_HOT = 1_000_000
 
 
 def key_runs(parents: DataFrame, key: str, bucket_bits: int = BUCKET_BITS) -> DataFrame:
@@ -74,12 +76,10 @@ def orphan_references(
         F.col(ref).cast("long").alias("k"), F.col(at).alias("t"), F.struct(*payload).alias("body")
     ).where("k is not null")
 
-    spark = refs.sparkSession
-    loads = rows.groupBy("k").count()
-    total = rows.count()
-    limit = max(hot_rows, total // max_hot)
-    hot = {r["k"]: -(-r["count"] // limit) for r in loads.where(F.col("count") > limit).collect()}
-    hot_keys = spark.createDataFrame([(k, s) for k, s in hot.items()], "k long, shards int")
+    limit = max(hot_rows, rows.count() // max_hot)
+    loads = rows.groupBy("k").count().where(F.col("count") > limit)
+    hot_keys = cut(loads.select("k", F.ceil(F.col("count") / limit).cast("int").alias("shards")))  # max_hot rows at most, and never on the driver
+    hot = not hot_keys.isEmpty()
 
     def place(df: DataFrame, shard) -> DataFrame:
         """Adds bucket and shard; hot keys get a bucket of their own and the given shard(s)."""
