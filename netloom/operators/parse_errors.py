@@ -13,6 +13,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.tables import cut
+
+#: Invalid texts up to which their dictionary is broadcast (some 20 MB).
+BROADCAST_ROWS = 200_000
 FLOAT_MAX = 3.4028234663852886e38
 NODE_MAX = 4294967295
 #: What stands for the separator where quotation marks are looked at, and a cell, a whole line and a quoted part in terms of it.
@@ -110,7 +114,7 @@ def invalid_values(split: DataFrame, fields: tuple[Field, ...] = EDGE_FIELDS) ->
     return cells.withColumn("why", why).where("why is not null")
 
 
-def parse_lines(lines: DataFrame, files: DataFrame, fields: tuple[Field, ...] = EDGE_FIELDS) -> DataFrame:
+def parse_lines(lines: DataFrame, files: DataFrame, fields: tuple[Field, ...] = EDGE_FIELDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All data lines with `reason` (null for valid lines), `detail` and the typed columns (null for invalid lines).
 
     `lines` needs line_id, file_id, line_no, raw_line; `files` needs file_id, layer, sep_char, has_header and may have delivered_at; further
@@ -119,15 +123,25 @@ def parse_lines(lines: DataFrame, files: DataFrame, fields: tuple[Field, ...] =
     or null file_id), `separator` (missing, not one character, or a quotation mark), `quoting`,
     `column count` or `invalid value`; detail says which column and why for the last.  Repeated lines and lines without a
     line_id come out once each; of several rows for one file the first delivered counts; empty tables give no rows.
+
+    The dictionary is broadcast if it has at most `broadcast_rows` texts (and 64 characters for each of these in all); beyond
+    that it is joined by shuffles, with the same result.
     """
     split = split_lines(lines, files, fields)
-    bad = invalid_values(split, fields)
+    bad = cut(invalid_values(split, fields))  # each distinct text is judged once and for all
+    size = bad.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("cell")), F.lit(0)).alias("chars")).first()
     names = [f"c{k}" for k in range(len(fields))]
-    # joined back by the cells themselves: lines that hold invalid values are few, so only their cells are regrouped
-    cells = _exploded(split.where("fault is null").select(*names), fields)
-    hit = cells.join(bad, ["field", "cell"]).groupBy(*names).agg(F.min(F.struct("field", "why")).alias("first"))
+    if size["rows"] <= broadcast_rows and size["chars"] <= 64 * broadcast_rows:
+        joined = split
+        for k, name in enumerate(names):
+            one = bad.where(F.col("field") == k).select(F.col("cell").alias(name), F.struct("field", "why").alias(f"bad{k}"))
+            joined = joined.join(F.broadcast(one), name, "left")
+        joined = joined.withColumn("first", F.coalesce(*[f"bad{k}" for k in range(len(fields))]))
+    else:  # joined back by the cells themselves: lines that hold invalid values are few, so only their cells are regrouped
+        cells = _exploded(split.where("fault is null").select(*names).distinct(), fields)
+        hit = cells.join(bad, ["field", "cell"]).groupBy(*names).agg(F.min(F.struct("field", "why")).alias("first"))
+        joined = split.join(hit, names, "left")
     titles = F.array(*[F.lit(f.name) for f in fields])
-    joined = split.join(hit, names, "left")
     reason = F.coalesce("fault", F.when(F.col("first").isNotNull(), "invalid value"))
     detail = F.when(F.col("first").isNotNull(), F.concat_ws(": ", F.get(titles, F.col("first.field")), F.col("first.why")))
     typed = [F.when(F.col("reason").isNull(), f.typed(F.col(f"c{i}"))).alias(f.name) for i, f in enumerate(fields)]

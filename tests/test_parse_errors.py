@@ -22,9 +22,10 @@ def files(spark):
     return spark.createDataFrame(rows, FILES)
 
 
-def test_cases(spark, files):
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_cases(spark, files, broadcast_rows):
     lines = spark.createDataFrame([(i, 1, i + 1, raw, "c", "r") for i, (raw, _) in enumerate(CASES)], LINES)
-    got = {r["line_id"]: r["reason"] for r in parse_lines(lines, files).collect()}
+    got = {r["line_id"]: r["reason"] for r in parse_lines(lines, files, broadcast_rows=broadcast_rows).collect()}
     assert [(CASES[i][0][:30], got[i]) for i in range(len(CASES))] == [(c[:30], r) for c, r in CASES]
 
 
@@ -44,13 +45,14 @@ def test_empty(spark, files):
     assert parse_lines(none, files).count() == 0 and parse_lines(none, files.limit(0)).count() == 0
 
 
-def test_lines_without_id_and_files_given_twice(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_lines_without_id_and_files_given_twice(spark, broadcast_rows):
     files = spark.createDataFrame(
         [(1, "late", ",", False, "2024-02-01"), (1, "early", ";", False, "2024-01-01"), (1, "undated", "|", False, None), (2, "x", "|", True, None)],
         "file_id long, layer string, sep_char string, has_header boolean, delivered_at string",
     ).selectExpr("file_id", "layer", "sep_char", "has_header", "cast(delivered_at as timestamp) as delivered_at")
     data = [(None, 1, 1, "1;2;x"), (None, 1, 2, "1;2;3"), (None, 2, 1, "a|b|c"), (None, 2, 2, "-|2|3"), (None, 1, 3, "1;2;x"), (None, 1, 4, '"1";"2";x')]
-    got = parse_lines(spark.createDataFrame([(*r, None, None) for r in data], LINES), files).collect()
+    got = parse_lines(spark.createDataFrame([(*r, None, None) for r in data], LINES), files, broadcast_rows=broadcast_rows).collect()
     bad = sorted((r["layer"], r["line_no"], r["reason"], r["detail"]) for r in got if r["reason"])
     assert bad == [*[("early", k, "invalid value", "value: not a number") for k in (1, 3, 4)], ("x", 2, "invalid value", "from: not digits")]
     assert [(r["line_no"], r["from"], r["to"], r["value"]) for r in got if not r["reason"]] == [(2, 1, 2, 3.0)]
