@@ -41,9 +41,11 @@ class LoadPlan:
             F.broadcast(self.heavy.withColumnsRenamed({"h1": "h1_", "h2": "h2_"})), ["h1_", "h2_"], "left"
         ).drop("h1_", "h2_")
 
-    def _bin(self, keys: list[str], shard: Column) -> Column:
+    def _to_bin(self, df: DataFrame, keys: list[str], shard: Column) -> DataFrame:
+        """Adds the bin of each row's unit, a shard or a range of light keys; the list of units has at most 2 * tasks * SHARE rows."""
         unit = F.coalesce(F.col("base") + shard, _range(keys, self.tasks * SHARE))
-        return F.element_at(F.array(*[F.lit(b) for b in self.bins]), unit + 1)
+        units = df.sparkSession.createDataFrame(list(enumerate(self.bins)), "unit_ int, bin int")
+        return df.withColumn("unit_", unit).join(F.broadcast(units), "unit_").drop("unit_")
 
     def fragment(self, df: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
         """Rows in the task of their bin, with `split` (whether the key has shards).
@@ -51,14 +53,21 @@ class LoadPlan:
         Equal `spread_by` of a key meet in one task, so distinct counts of a key's tasks add up.
         """
         shard = F.pmod(F.xxhash64(*spread_by), F.col("shards")).cast("int")
-        df = self._place(df, keys).withColumn("bin", self._bin(keys, shard))
+        df = self._to_bin(self._place(df, keys), keys, shard)
         return df.withColumn("split", F.col("shards").isNotNull()).drop("shards", "base").repartition(self.tasks, "bin")
 
+    def divided(self, df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The rows of keys that stay whole, and of those that are split."""
+        if not self.n_heavy:
+            return df, df.limit(0)
+        df = self._place(df, keys)
+        return df.where("shards is null").drop("shards", "base"), df.where("shards is not null").drop("shards", "base")
+
     def replicate(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """Rows of the other side, one copy in each task that has a shard of their key, and in no other."""
         df = self._place(df, keys)
         df = df.withColumn("shard_", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shards"), F.lit(1)) - 1)))
-        df = df.withColumn("bin", self._bin(keys, F.col("shard_"))).drop("shards", "base", "shard_")
+        df = self._to_bin(df, keys, F.col("shard_")).drop("shards", "base", "shard_")
         return df.distinct().repartition(self.tasks, "bin")
 
 
@@ -76,8 +85,8 @@ def _labels(spark, tasks: int) -> list[int]:
     size = tasks * 32
     while len(found) < tasks:
         number = F.col("id").cast("int")
-        for r in spark.range(size).select(number.alias("n"), F.pmod(F.hash(number), F.lit(tasks)).alias("p")).collect():
-            found.setdefault(r["p"], r["n"])
+        least = spark.range(size).groupBy(F.pmod(F.hash(number), F.lit(tasks)).alias("p")).agg(F.min(number).alias("n"))
+        found = {r["p"]: r["n"] for r in least.collect()}  # a row for each task
         size *= 4
     return [found[p] for p in range(tasks)]
 
@@ -114,16 +123,23 @@ def plan_loads(df: DataFrame, keys: list[str], tasks: int | None = None) -> Load
 
 
 def _profile_of(rows: DataFrame, key: str, partner: str, tasks: int | None) -> DataFrame:
-    """scope, key, n_rows, n_partners.  Keys that were not split are finished in their task; shards are added up."""
-    rows = rows.where(F.col(key).isNotNull())
-    plan = plan_loads(rows, ["scope", key], tasks)
-    placed = plan.fragment(rows.select("scope", key, partner), ["scope", key], [partner])
-    grouped = placed.groupBy("bin", "scope", key, "split", partner).agg(F.count("*").alias("n"))
-    per_task = grouped.groupBy("bin", "scope", key, "split").agg(F.sum("n").alias("n_rows"), F.count(partner).alias("n_partners"))
-    whole = per_task.where(~F.col("split")).select("scope", key, "n_rows", "n_partners")
+    """scope, key, n_rows, n_partners.  Keys that were not split are finished in their task; shards are added up.
+
+    Rows of split keys are first put together by partner, with partial sums before the exchange, so that neither a partner that
+    is null nor one that holds most rows of its key makes a shard heavy.
+    """
+    rows = rows.where(F.col(key).isNotNull()).select("scope", key, partner)
+    ends = ["scope", key]
+    plan = plan_loads(rows, ends, tasks)
+    light, heavy = plan.divided(rows, ends)
+    placed = plan.fragment(light, ends, [partner])
+    grouped = placed.groupBy("bin", *ends, partner).agg(F.count("*").alias("n"))
+    whole = grouped.groupBy("bin", *ends).agg(F.sum("n").alias("n_rows"), F.count(partner).alias("n_partners")).drop("bin")
     if not plan.n_heavy:
         return whole
-    shards = per_task.where(F.col("split")).groupBy("scope", key).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_partners").alias("n_partners"))
+    heavy = plan.fragment(heavy.groupBy(*ends, partner).agg(F.count("*").alias("n")), ends, [partner])
+    shards = heavy.groupBy("bin", *ends).agg(F.sum("n").alias("n_rows"), F.count(partner).alias("n_partners"))
+    shards = shards.groupBy(*ends).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_partners").alias("n_partners"))
     return whole.unionByName(shards)
 
 
