@@ -7,10 +7,12 @@ a hyperedge is named layer/affiliation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from netloom.functions.chance import DEFAULT_SEED, uniform
 from netloom.functions.conditions import attribute_condition
@@ -140,7 +142,7 @@ add(
     f"with {_MEMBERS} select distinct y.node_id as alter from members x join members y on x.hyper_name = y.hyper_name where x.node_id = {JOINED} and y.node_id <> {JOINED}",
 )
 add(
-    "n_neighbours_all_layers",
+    "n_neighbours_one_mode_layers",
     lambda s, d: graph.all_neighbours([("one", arcs_of(s, d), True), ("one", ties_of(s, d), False)]),
     f"with {_ARCS}, {_TIES} select src, dst from arcs union select src, dst from both_ways",
 )
@@ -299,71 +301,133 @@ def _from(spark: SparkSession, node: int) -> DataFrame:
     return spark.createDataFrame([(node,)], "node_id long")
 
 
-_BFS = """bfs as (select {ego}::bigint as node_id, 0 as distance union select {link}.b, distance + 1 from bfs join {link} on bfs.node_id = {link}.a where distance < {limit})
-  select node_id, min(distance) as distance from bfs group by node_id"""
-add(
-    "n_distances_arcs",
-    lambda s, d: graph.distances(_from(s, OUT), [graph.step_one_mode(arcs_of(s, d), True)], limit=6)[0],
-    f"with recursive {_ARCS}, links as (select src as a, dst as b from arcs), {_BFS.format(ego=OUT, link='links', limit=6)}",
-)
-add(
-    "n_distances_all_layers",
-    lambda s, d: graph.distances(_from(s, OUT), [graph.step_one_mode(arcs_of(s, d), True), graph.step_one_mode(ties_of(s, d), False)], limit=6)[0],
-    f"with recursive {_ARCS}, {_TIES}, links as (select src as a, dst as b from arcs union select src, dst from both_ways), {_BFS.format(ego=OUT, link='links', limit=6)}",
-)
-add(
-    "n_distances_two_mode",
-    lambda s, d: graph.distances(_from(s, JOINED), [graph.step_two_mode(members_of(s, d))], limit=2)[0],
-    f"""with {_MEMBERS}, one as (select distinct y.node_id from members x join members y on x.hyper_name = y.hyper_name where x.node_id = {JOINED}),
-  two as (select distinct node_id from members where hyper_name in (select hyper_name from members where node_id in (select node_id from one)))
-  select node_id, case when node_id = {JOINED} then 0 when node_id in (select node_id from one) then 1 else 2 end as distance from (select node_id from two union select {JOINED}::bigint)""",
-)
-
-# the same without a limit of steps; the queries above stop at 6, 6 and 2, as their SQL does
-_WHOLE_BFS = """bfs(node_id, distance) using key (node_id) as (select {ego}::bigint, 0 union
+_BFS = """bfs(node_id, distance) using key (node_id) as (select {ego}::bigint, 0 union
   select l.b, min(x.distance) + 1 from bfs x join links l on x.node_id = l.a left join recurring.bfs k on k.node_id = l.b where k.node_id is null group by l.b)"""
 #: Hyperedges as vertices of their own, from 10^12 on, so that a membership step is two links.
 _THROUGH = """h as (select hyper_name, 1000000000000 + row_number() over (order by hyper_name) as k from (select distinct hyper_name from members)),
   halves as (select node_id as a, k as b from members join h on members.hyper_name = h.hyper_name union all select k, node_id from members join h on members.hyper_name = h.hyper_name)"""
 _HALVED = "select node_id, cast(distance // 2 as integer) as distance from bfs where node_id < 1000000000000"
 add(
-    "n_distances_arcs_whole",
+    "n_distances_arcs",
     lambda s, d: graph.distances(_from(s, OUT), [graph.step_one_mode(arcs_of(s, d), True)])[0],
-    f"with recursive {_ARCS}, links as (select src as a, dst as b from arcs), {_WHOLE_BFS.format(ego=OUT)} select node_id, distance from bfs",
+    f"with recursive {_ARCS}, links as (select src as a, dst as b from arcs), {_BFS.format(ego=OUT)} select node_id, distance from bfs",
 )
 add(
-    "n_distances_all_layers_whole",
+    "n_distances_all_layers",
     lambda s, d: graph.distances(_from(s, OUT), [graph.step_one_mode(arcs_of(s, d), True), graph.step_one_mode(ties_of(s, d), False), graph.step_two_mode(members_of(s, d))])[0],
     f"""with recursive {_ARCS}, {_TIES}, {_MEMBERS}, {_THROUGH}, one_mode as (select src, dst from arcs union select src, dst from both_ways),
   mids as (select src, dst, 2000000000000 + row_number() over (order by src, dst) as k from one_mode),
-  links as (select a, b from halves union all select src, k from mids union all select k, dst from mids), {_WHOLE_BFS.format(ego=OUT)} {_HALVED}""",
+  links as (select a, b from halves union all select src, k from mids union all select k, dst from mids), {_BFS.format(ego=OUT)} {_HALVED}""",
 )
 add(
-    "n_distances_two_mode_whole",
+    "n_distances_two_mode",
     lambda s, d: graph.distances(_from(s, JOINED), [graph.step_two_mode(members_of(s, d))])[0],
-    f"with recursive {_MEMBERS}, {_THROUGH}, links as (select a, b from halves), {_WHOLE_BFS.format(ego=JOINED)} {_HALVED}",
+    f"with recursive {_MEMBERS}, {_THROUGH}, links as (select a, b from halves), {_BFS.format(ego=JOINED)} {_HALVED}",
 )
 
-# sampling and generators: seeded, so the same rows every time, but no SQL
-add("n_random_node", lambda s, d: nodes_of(s, d).select("node_id").orderBy(uniform(DEFAULT_SEED, "node", F.col("node_id"))).limit(1))
-add("n_random_alter", lambda s, d: graph.alters(arcs_of(s, d), True, OUT, "both").orderBy(uniform(DEFAULT_SEED, "alter", F.col("alter"))).limit(1))
-add("n_random_edge", lambda s, d: doubled(arcs_of(s, d)).orderBy(uniform(DEFAULT_SEED, "edge", F.col("src"), F.col("dst"))).limit(1))
-for _kind in ("int", "float", "bool", "char"):
-    add(f"n_generate_{_kind}", lambda s, d, k=_kind: nodes_of(s, d).select("node_id", generators.random_attribute(k, DEFAULT_SEED, k).alias("value")))
-add("n_generate_er", lambda s, d: doubled(generators.erdos_renyi(nodes_of(s, d), 0.0005, True, False, DEFAULT_SEED)))
-add("n_generate_ws", lambda s, d: doubled(generators.watts_strogatz(nodes_of(s, d), 6, 0.05, DEFAULT_SEED)))
-add("n_generate_ba", lambda s, d: doubled(generators.barabasi_albert(nodes_of(s, d), 3, DEFAULT_SEED)))
-add("n_generate_two_mode", lambda s, d: generators.random_two_mode(nodes_of(s, d), 200, 5, DEFAULT_SEED))
-add(
-    "n_generate_ws_count",
-    lambda s, d: generators.watts_strogatz(nodes_of(s, d), 6, 0.05, DEFAULT_SEED).agg(F.count("*").alias("edges")),
-    f"with {_NODES} select count(*) * 3 as edges from nodes",
-)
+# sampling and generators: seeded draws of our own, so what is compared is whether they are draws of the kind asked for
+def _within(value, mean, deviation) -> Column:
+    """Five standard deviations about what is expected."""
+    return F.abs(value - mean) <= 5 * deviation
+
+
+def _beside(*frames: DataFrame) -> DataFrame:
+    """One row with the columns of frames of one row each."""
+    values = [v for f in frames for v in f.first()]
+    return frames[0].sparkSession.createDataFrame([tuple(values)], StructType([field for f in frames for field in f.schema.fields]))
+
+
+def _one_of(picked: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    return picked.join(of.distinct(), keys, "left_semi").agg(F.count("*").alias("n"))
+
+
+add("n_random_node", lambda s, d: _one_of(nodes_of(s, d).select("node_id").orderBy(uniform(DEFAULT_SEED, "node", F.col("node_id"))).limit(1), nodes_of(s, d), ["node_id"]), "select 1::bigint as n")
+add("n_random_alter", lambda s, d: _one_of((x := graph.alters(arcs_of(s, d), True, OUT, "both")).orderBy(uniform(DEFAULT_SEED, "alter", F.col("alter"))).limit(1), x, ["alter"]), "select 1::bigint as n")
+add("n_random_edge", lambda s, d: _one_of((x := doubled(arcs_of(s, d))).orderBy(uniform(DEFAULT_SEED, "edge", F.col("src"), F.col("dst"))).limit(1), x, ["src", "dst", "value"]), "select 1::bigint as n")
+
+
+def attributes(spark: SparkSession, d: str) -> DataFrame:
+    out = nodes_of(spark, d).select("node_id", *[generators.random_attribute(k, DEFAULT_SEED, k).alias(k) for k in ("int", "float", "bool", "char")])
+    n = F.count("*")
+    return out.agg(
+        n.alias("nodes"), F.bool_and(F.col("int").between(0, 100)).alias("int_range"), _within(F.avg("int"), 50, F.sqrt(F.lit((101**2 - 1) / 12) / n)).alias("int_mean"),
+        F.bool_and((F.col("float") >= 0) & (F.col("float") <= 1)).alias("float_range"), _within(F.avg("float"), 0.5, F.sqrt(F.lit(1 / 12) / n)).alias("float_mean"),
+        _within(F.avg(F.col("bool").cast("int")), 0.5, F.sqrt(F.lit(0.25) / n)).alias("bool_rate"), F.bool_and(F.col("char").isin("m", "f", "o")).alias("char_set"),
+        _within(F.avg((F.col("char") == "m").cast("int")), 1 / 3, F.sqrt(F.lit(2 / 9) / n)).alias("char_rate"),
+    )
+
+
+add("n_generate_attributes", attributes, f"with {_NODES} select count(*) as nodes, true as int_range, true as int_mean, true as float_range, true as float_mean, true as bool_rate, true as char_set, true as char_rate from nodes")
+
+
+def _shape(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: nodes, edges, repeated pairs, self-ties, strangers."""
+    ids = nodes.select("node_id")
+    strange = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).join(ids, "node_id", "left_anti").agg(F.count("*").alias("strangers"))
+    own = edges.agg(F.count("*").alias("edges"), (F.count("*") - F.count_distinct("src", "dst")).alias("repeated"), F.count_if(F.col("src") == F.col("dst")).alias("selfties"))
+    return _beside(own, strange, nodes.agg(F.count("*").alias("nodes")))
+
+
+def erdos_renyi_shape(spark: SparkSession, d: str) -> DataFrame:
+    nodes, p = nodes_of(spark, d), 0.0005
+    edges = generators.erdos_renyi(nodes, p, True, False, DEFAULT_SEED)
+    pairs = F.col("nodes") * (F.col("nodes") - 1)
+    even = graph.degree(nodes, edges, True, "out").agg(F.var_pop("degree").alias("spread"))
+    row = _beside(_shape(edges, nodes), even).withColumn("expected", (F.col("nodes") - 1) * p * (1 - p))
+    # the variance of a binomial sample of n degrees has a deviation of about sqrt(2 / n + 1 / (n * mean)) of itself
+    spread = _within(F.col("spread"), F.col("expected"), F.col("expected") * F.sqrt(2 / F.col("nodes") + 1 / (F.col("nodes") * F.col("expected"))))
+    return row.select("nodes", "repeated", "selfties", "strangers", _within(F.col("edges"), pairs * p, F.sqrt(pairs * p * (1 - p))).alias("density"), spread.alias("spread"))
+
+
+add("n_generate_er", erdos_renyi_shape, f"with {_NODES} select count(*) as nodes, 0::bigint as repeated, 0::bigint as selfties, 0::bigint as strangers, true as density, true as spread from nodes")
+
+
+def watts_strogatz_shape(spark: SparkSession, d: str) -> DataFrame:
+    nodes, k, beta = nodes_of(spark, d), 6, 0.05
+    edges = generators.watts_strogatz(nodes, k, beta, DEFAULT_SEED)
+    ranked = graph.numbered(nodes.select("node_id"), "node_id", "rank")
+    a, b = (ranked.select(F.col("node_id").alias(x), F.col("rank").alias(f"r{x}")) for x in ("src", "dst"))
+    apart = F.abs(F.col("rsrc") - F.col("rdst"))
+    near = edges.join(a, "src").join(b, "dst").agg(F.count_if(F.least(apart, F.lit(nodes.count()) - apart) <= k // 2).alias("kept"))
+    row = _beside(_shape(edges, nodes), near)
+    # a moved edge falls on the lattice again by chance k / n of the time
+    kept = _within(F.col("kept"), F.col("edges") * (1 - beta + beta * k / F.col("nodes")), F.sqrt(F.col("edges") * beta * (1 - beta)))
+    return row.select("nodes", "edges", "repeated", "selfties", "strangers", kept.alias("rewired"))
+
+
+add("n_generate_ws", watts_strogatz_shape, f"with {_NODES} select count(*) as nodes, count(*) * 3 as edges, 0::bigint as repeated, 0::bigint as selfties, 0::bigint as strangers, true as rewired from nodes")
+
+
+def barabasi_albert_shape(spark: SparkSession, d: str) -> DataFrame:
+    """The share of nodes with the least degree m is 2 / (m + 2) in the limit, and the tail falls as the square of the degree."""
+    nodes, m = nodes_of(spark, d), 3
+    edges = generators.barabasi_albert(nodes, m, DEFAULT_SEED)
+    degrees = graph.degree(nodes, edges, False)
+    tail = degrees.agg(F.min("degree").alias("least"), F.avg((F.col("degree") == m).cast("int")).alias("lowest"), F.avg((F.col("degree") >= 20).cast("int")).alias("high"))
+    row = _beside(_shape(edges, nodes), tail)
+    limit = m * (m + 1) / (20 * 21)
+    return row.select(
+        "nodes", "edges", "repeated", "selfties", "strangers", (F.col("least") >= m).alias("least"), (F.abs(F.col("lowest") - 2 / (m + 2)) < 0.05).alias("lowest"), F.col("high").between(limit / 2, limit * 2).alias("tail")
+    )
+
+
 add(
-    "n_generate_ba_count",
-    lambda s, d: generators.barabasi_albert(nodes_of(s, d), 3, DEFAULT_SEED).dropDuplicates(["src", "dst"]).agg(F.count("*").alias("edges")),
-    f"with {_NODES} select 6 + 3 * (count(*) - 4) as edges from nodes",
-)
+    "n_generate_ba", barabasi_albert_shape,
+    f"with {_NODES} select count(*) as nodes, 6 + 3 * (count(*) - 4) as edges, 0::bigint as repeated, 0::bigint as selfties, 0::bigint as strangers, true as least, true as lowest, true as tail from nodes",
+)
+
+
+def two_mode_shape(spark: SparkSession, d: str) -> DataFrame:
+    nodes, h, mean = nodes_of(spark, d), 200, 5
+    members = generators.random_two_mode(nodes, h, mean, DEFAULT_SEED)
+    each = nodes.select("node_id").join(members.groupBy("node_id").agg(F.count("*").alias("k")), "node_id", "left").select(F.coalesce("k", F.lit(0)).alias("k"))
+    row = each.agg(F.count("*").alias("nodes"), F.avg("k").alias("mean"), F.var_pop("k").alias("spread"))
+    row = _beside(row, members.agg(F.count_distinct("hyper_name").alias("names"), (F.count("*") - F.count_distinct("hyper_name", "node_id")).alias("repeated")))
+    n = F.col("nodes")
+    return row.select("nodes", "repeated", (F.col("names") <= h).alias("names"), _within(F.col("mean"), mean, F.sqrt(mean / n)).alias("mean"), _within(F.col("spread"), mean, mean * F.sqrt(2 / n + 1 / (n * mean))).alias("spread"))
+
+
+add("n_generate_two_mode", two_mode_shape, f"with {_NODES} select count(*) as nodes, 0::bigint as repeated, true as names, true as mean, true as spread from nodes")
 
 
 # files, in the shared folder
@@ -375,7 +439,7 @@ def _network(spark: SparkSession, d: str) -> Network:
 
 
 def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    net, root = _network(spark, d), f"{checkpoint_folder(spark)}/netloom-files"
+    net, root = _network(spark, d), f"{checkpoint_folder(spark)}/netloom-{uuid.uuid4().hex}"
     net.nodeset.path = f"{root}/nodes.parquet"
     files.write_parquet(net.nodeset, net.nodeset.path)
     files.write_parquet(net, f"{root}/net.parquet")
@@ -383,7 +447,7 @@ def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_list_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    folder = f"{checkpoint_folder(spark)}/netloom-edges"
+    folder = f"{checkpoint_folder(spark)}/netloom-{uuid.uuid4().hex}"
     edgelists.layer_rows(_network(spark, d), "trade").write.mode("overwrite").option("sep", ";").csv(folder)
     lines = spark.read.text(folder).select(F.col("value").alias("line"))
     cells = F.split("line", ";")

@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from netloom.plans import data_queries, network_queries
+from netloom.plans import command_queries, data_queries, network_queries
 
 FOLDER = "/root/testdata/sf0.001"
-CORE = {**network_queries.QUERIES, **data_queries.QUERIES}
-SQL = {**network_queries.SQL, **data_queries.SQL}
+PARTS = (network_queries, command_queries, data_queries)
+CORE = {k: f for m in PARTS for k, f in m.QUERIES.items()}
+SQL = {k: x for m in PARTS for k, x in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -63,4 +64,4 @@ def test_distances_have_no_limit_of_steps(spark, tmp_path):
     members = [("m", f"h{k}", n) for k, (a, b) in enumerate(zip([j, *range(112, 116)], range(112, 117))) for n in (a, b)]
     spark.createDataFrame(members, "layer string, affiliation string, node long").write.parquet(f"{tmp_path}/affiliations.parquet")
     far = lambda name: max(r["distance"] for r in CORE[name](spark, str(tmp_path)).collect())
-    assert (far("n_distances_arcs_whole"), far("n_distances_two_mode_whole"), far("n_distances_all_layers_whole")) == (12, 5, 16)
+    assert (far("n_distances_arcs"), far("n_distances_two_mode"), far("n_distances_all_layers")) == (12, 5, 16)
