@@ -128,6 +128,7 @@ def pack_texts(
     """
     sizes = capacities.select("pack_name", F.col("capacity_tokens").alias("c")).dropna().where("c > 0").groupBy("pack_name").agg(F.min("c").alias("c"))
     wanted = sorted((r["pack_name"], r["c"]) for r in sizes.collect())
+    items_per_task = max(items_per_task, 4 * len(wanted))  # so that rounds of half empty containers shrink
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
     bins = cut(docs.mapInArrow(_measure_and_pack(wanted, tokenizer), BINS_SQL))
     is_full = F.col("used") >= F.ceil(F.col("capacity") * nearly_full)
@@ -140,8 +141,13 @@ def pack_texts(
         before, n = n, packed.where(~is_full).count()
         done.append(packed.where(is_full))
         left = packed.where(~is_full)
-        if tasks == 1 or n > 0.98 * before:  # one task has seen all there is, or packing again gains nothing
+        if tasks == 1:  # one task has seen all there is
             break
+        if n > 0.98 * before:
+            # nothing much fits together any more; what can still save a container is half empty, at most one of a task and packing
+            done.append(left.where("used * 2 > capacity"))
+            left = left.where("used * 2 <= capacity")
+            n = left.count()
     done.append(left)
     out = done[0]
     for part in done[1:]:
