@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from netloom.functions.tables import cut, written
+
 BLOCK = 1024
 
 
@@ -44,9 +46,12 @@ def shared_baskets(
     times more often than by chance the pair is shared; conviction is that of the rarer item implying the other, null
     where the rule never fails.  Ties and repeated rows change nothing; an empty table gives no rows; columns
     beyond the three are ignored.
+
+    The rows of the distinct baskets are written once, to the shared folder.
     """
     s, b, i = "scope_", "basket_", "item_"
     facts = df.select(F.col(scope).alias(s), F.col(basket).alias(b), F.col(item).alias(i)).dropna()
+    every = facts
     sizes = facts.groupBy(s, b).agg(F.count("*").alias("m")).groupBy(s).agg(F.count("*").alias("baskets"))
     if min_shared > 1:  # an item with too few rows, repeated ones included, has too few baskets
         often = facts.groupBy(s, i).agg(F.count("*").alias("rows_")).where(F.col("rows_") >= min_shared).select(s, i)
@@ -55,11 +60,12 @@ def shared_baskets(
     counts = facts.groupBy(s, i).agg(F.count("*").alias("count")).join(sizes, s)
     # the least t of an item in any qualifying pair: its partner has at least min_shared baskets
     need = F.greatest(F.lit(min_shared), F.ceil(F.lit(lift * min_shared) * F.col("count") / F.col("baskets") - 1e-9)).cast("long")
-    able = counts.where((F.col("count") >= min_shared) & (F.col("count") * lift <= F.col("baskets"))).withColumn("need", need)
-    rows = facts.join(able.select(s, i, "need"), [s, i])
+    able = cut(counts.where((F.col("count") >= min_shared) & (F.col("count") * lift <= F.col("baskets"))).withColumn("need", need))
+    rows = every.join(able.select(s, i, "need"), [s, i]).distinct()
     # items below the threshold are gone, so sets are compared as they then are
     classes = basket_classes(rows, s, b, i)
-    rows = rows.join(classes, [s, b])
+    # one row for each item of a distinct basket; read by all that follows, so it is written once
+    rows = written(rows.join(classes, [s, b]))
 
     small = rows.where(F.col("size") <= block).select(s, b, i, "weight")
     x, y = small, small.select(s, b, F.col(i).alias("other_"))
