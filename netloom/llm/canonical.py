@@ -12,6 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.tables import cut
+
+#: Copies of one record that meet in one task, and how many records may have more; their list is broadcast.
+HOT_ROWS, MAX_HOT = 100_000, 1_000_000
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -64,20 +69,34 @@ def _hashed(df: DataFrame, tree, name: str) -> DataFrame:
     return df.withColumn(name, F.struct(F.struct(F.xxhash64(digests, kind).alias("h1"), F.xxhash64(kind, digests).alias("h2")).alias("d"), form.alias("f")))
 
 
-def collapse(df: DataFrame, tree: Node, *, id: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+def collapse(df: DataFrame, tree: Node, *, id: str, required: list[str], hot_rows: int = HOT_ROWS, with_members: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(groups, members).  groups: h1, h2, form, first_id (smallest id), copies; members: first_id, id, one row per record
     that has copies.
 
     Records with a null in a `required` column belong to no group; elsewhere null equals null.  Labels that are
     empty after normalisation are equal to each other.  Identical rows are copies; rows with a null id never come out.
     Records with one digest and unlike structures (a collision) are groups of their own.  Columns not in the tree are ignored.
+    Eager for members (groups with copies are kept in the shared folder); with_members: whether these are wanted at all.
+    hot_rows: copies of one record that a task brings together; of the records with more, at most MAX_HOT are split.
     """
     needed = sorted({*tree.columns(), id})
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [*required, id])).select(*[F.col(f"`{c}`") for c in needed])
     rows = _hashed(rows, tree, "root_").select(F.col(f"`{id}`").alias("id"), "root_.d.h1", "root_.d.h2", F.col("root_.f").alias("form"))
     groups = rows.groupBy("h1", "h2", "form").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    several = groups.where("copies > 1").select("h1", "h2", F.col("form").alias("agreed"), "first_id")
-    members = rows.join(several, ["h1", "h2"]).where(F.col("form") == F.col("agreed")).select("first_id", "id")
+    if not with_members:
+        return groups, None
+    several = cut(groups.where("copies > 1").select("h1", "h2", F.col("form").alias("agreed"), "first_id", "copies"))
+    # digests with very many copies meet their group in several tasks; their list is bounded by MAX_HOT rows of 20 bytes
+    hot = several.groupBy("h1", "h2").agg(F.sum("copies").alias("copies")).where(F.col("copies") > hot_rows)
+    hot = cut(hot.orderBy(F.desc("copies"), "h1", "h2").limit(MAX_HOT).select("h1", "h2", F.ceil(F.col("copies") / hot_rows).cast("int").alias("shards")))
+    if hot.isEmpty():
+        members = rows.join(several, ["h1", "h2"])
+    else:
+        shards = F.coalesce("shards", F.lit(1))
+        placed = rows.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("shard", F.pmod(F.xxhash64("id"), shards)).drop("shards")
+        spread = several.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1))).drop("shards")
+        members = placed.join(spread, ["h1", "h2", "shard"])
+    members = members.where(F.col("form") == F.col("agreed")).select("first_id", "id")
     return groups, members
 
 

@@ -85,18 +85,18 @@ scored as (select p.*, c1.c as a, c2.c as b, baskets from pairs p join cnt c1 on
 """
 
 
-def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return collapse(table(spark, d, "call_edges"), CALL_EDGE, id="row_id", required=["node1", "node2"])
+def _copies(spark: SparkSession, d: str, with_members: bool) -> tuple[DataFrame, DataFrame | None]:
+    return collapse(table(spark, d, "call_edges"), CALL_EDGE, id="row_id", required=["node1", "node2"], with_members=with_members)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    members = _copies(spark, d)[1].where("id <> first_id")
+    members = _copies(spark, d, True)[1].where("id <> first_id")
     return members.select(F.col("first_id").alias("row_id_1"), F.col("id").alias("row_id_2"))
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     """One record for each set of copies, with their number."""
-    return _copies(spark, d)[0].select(F.col("first_id").alias("row_id"), "copies")
+    return _copies(spark, d, False)[0].select(F.col("first_id").alias("row_id"), "copies")
 
 
 _LABELS = r"""

@@ -1,12 +1,15 @@
 import random
 import re
 
+import pytest
+
 from netloom.llm.canonical import CALL_EDGE, Leaf, Node, collapse
 
 SCHEMA = "row_id long, layer string, node1 string, node2 string, value double, id string, h1 long, form string"
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [3, 100_000])
+def test_against_brute_force(spark, hot_rows):
     rng = random.Random(4)
     spell = lambda x: rng.choice([x, x.lower(), f"({x})", x.replace("-", " "), f"“{x}”", x[0] + "." + x[1:], f"\t{x}… "])
     rows = []
@@ -22,7 +25,7 @@ def test_against_brute_force(spark):
     for i, layer, a, b, v, *_ in rows:
         if None not in (i, a, b):
             groups.setdefault((layer, v, *sorted((norm(a), norm(b)))), []).append(i)
-    made, members = collapse(spark.createDataFrame(rows, SCHEMA), CALL_EDGE, id="row_id", required=["node1", "node2"])
+    made, members = collapse(spark.createDataFrame(rows, SCHEMA), CALL_EDGE, id="row_id", required=["node1", "node2"], hot_rows=hot_rows)
     assert sorted((r["first_id"], r["copies"]) for r in made.collect()) == sorted((min(g), len(g)) for g in groups.values())
     assert sorted(tuple(r) for r in members.collect()) == sorted((min(g), i) for g in groups.values() if len(g) > 1 for i in g)
 
