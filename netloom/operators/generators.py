@@ -112,14 +112,16 @@ def watts_strogatz(nodes: DataFrame, k: int, beta: float, seed: int) -> DataFram
     t = 0
     while not open_.isEmpty():
         t += 1
+        # an edge that has not moved holds its place until it does
+        held = open_.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         if t % 10 == 0:  # starts that are tied to all others can't be served
-            ends = fixed.select(F.explode(F.array("lo", "hi")).alias("a")).join(open_.select("a").distinct(), "a", "left_semi")
+            ends = fixed.unionByName(held).select(F.explode(F.array("lo", "hi")).alias("a")).join(open_.select("a").distinct(), "a", "left_semi")
             full = ends.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= n - 1).select("a")
             if open_.join(full, "a", "left_anti").isEmpty():
                 break
         aim = F.floor(uniform(seed, "ws-aim", F.lit(t), F.col("a"), F.col("j")) * n).cast("long")
         tried = open_.withColumn("to", aim).withColumn("lo", F.least("a", "to")).withColumn("hi", F.greatest("a", "to"))
-        good = tried.where("a <> to").join(fixed, ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"])
+        good = tried.where("a <> to").join(fixed, ["lo", "hi"], "left_anti").join(held, ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"])
         good = cut(good)
         fixed = cut(fixed.unionByName(good.select("lo", "hi")))
         open_ = cut(open_.join(good.select("a", "j"), ["a", "j"], "left_anti"))

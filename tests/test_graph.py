@@ -1,10 +1,13 @@
 import itertools
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions.conditions import attribute_condition
+from netloom.functions.errors import Failure
+from netloom.functions.tables import checkpoint_folder
 from netloom.operators import generators, graph
 
 
@@ -128,3 +131,30 @@ def test_alters(spark):
     get = lambda k: sorted(r[0] for r in graph.alters(edges, True, 0, k).collect())
     assert (get("out"), get("in"), get("both")) == ([1, 2], [1, 3], [1, 2, 3])
     assert list(itertools.chain.from_iterable(graph.alters(frame(spark, [(0, 0), (0, 1)]), False, 0).orderBy("alter").collect())) == [0, 1]
+
+
+def test_long_chain_is_one_component(spark):
+    """The rounds end at the fixed point, however far the labels travel."""
+    pairs = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.min_labels(pairs).agg(F.max("label"), F.count("*")).first() == (0, 3001)
+
+
+def test_rewiring_ends_where_no_place_is_left(spark):
+    edges = generators.watts_strogatz(nodes(spark, 5), 4, 1.0, 7).collect()
+    assert len({(r["src"], r["dst"]) for r in edges}) == 10
+
+
+def test_two_mode_degree_with_and_without_bitmaps(spark):
+    rng = random.Random(6)
+    members = sorted({(f"h{h}", rng.randrange(60)) for h in range(25) for _ in range(rng.choice([2, 3, 30]))})
+    expected = {n: len({m for h, m in members if m != n and (h, n) in set(members)}) for n in range(60)}
+    df = spark.createDataFrame(members, "hyper_name string, node_id long")
+    for large in (0, 2, 10, 128):
+        assert {r["node_id"]: r["degree"] for r in graph.two_mode_degree(nodes(spark, 60), df, large).collect()} == expected, large
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="yarn"), conf=conf)
+    with pytest.raises(Failure):
+        checkpoint_folder(session)
