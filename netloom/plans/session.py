@@ -152,7 +152,7 @@ class Session:
 
     def path(self, path: str) -> str:
         path = {"~": os.path.expanduser("~"), "~documents": os.path.join(os.path.expanduser("~"), "Documents")}.get(path, path)
-        return path if os.path.isabs(path) else os.path.join(self.folder, path)
+        return path if os.path.isabs(path) or "://" in path else os.path.join(self.folder, path)
 
     def draw(self) -> int:
         """A fresh seed for each random command of the session."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from netloom.functions.errors import Failure
 from netloom.operators.graph import numbered
 from netloom.operators.model import Network
-from netloom.sources.files import NODE_MAX, _float_text, node_id, read_lines, write_lines
+from netloom.sources.files import NODE_MAX, _float_text, exists, node_id, read_lines, write_lines
 
 
 def _cells(lines: DataFrame, sep: str) -> DataFrame:
@@ -144,7 +144,7 @@ def export_layer(network: Network, name: str, path: str, header: bool = True, se
     if path.endswith("/"):
         rows.write.mode("overwrite").option("sep", sep).option("header", header).csv(path)
         return
-    if os.path.dirname(path) and not os.path.isdir(os.path.dirname(path)):
+    if os.path.dirname(path) and not exists(os.path.dirname(path)):
         raise Failure("IOExportError", f"Folder of '{path}' not found.")
 
     def lines():

@@ -11,7 +11,9 @@ import gzip
 import json
 import os
 import struct
+import tempfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +39,44 @@ def format_of(path: str) -> str:
     raise Failure("UnsupportedFileFormat", f"'{name}' has no known format.")
 
 
+def _store(path: str):
+    """The file system of an address with a scheme (an object store, say) and the path there, by the session's Hadoop settings."""
+    spark = SparkSession.getActiveSession()
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(path: str) -> bool:
+    if "://" not in path:
+        return os.path.exists(path)
+    store, there = _store(path)
+    return store.exists(there)
+
+
 def _need_file(path: str) -> None:
-    if not os.path.exists(path):
+    if not exists(path):
         raise Failure("FileNotFound", f"File '{path}' not found.")
 
 
+@contextmanager
+def opened(path: str, mode: str):
+    """A file of bytes to read or write, packed if the name ends so; what lies in a store passes through a copy on the driver."""
+    opener = gzip.open if path.endswith(".gz") else open
+    if "://" not in path:
+        with opener(path, mode) as f:
+            yield f
+        return
+    store, there = _store(path)
+    with tempfile.TemporaryDirectory() as folder:
+        copy = os.path.join(folder, os.path.basename(path))
+        if mode == "rb":
+            store.copyToLocalFile(False, there, SparkSession.getActiveSession()._jvm.org.apache.hadoop.fs.Path(copy), True)
+        with opener(copy, mode) as f:
+            yield f
+        if mode == "wb":
+            store.copyFromLocalFile(True, True, SparkSession.getActiveSession()._jvm.org.apache.hadoop.fs.Path(copy), there)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, n): lines in order of n."""
     _need_file(path)
@@ -49,10 +84,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lines(path: str, lines: Iterable[str]) -> None:
-    opener = gzip.open if path.endswith(".gz") else open
-    with opener(path, "wt", encoding="utf-8", newline="\n") as out:
+    with opened(path, "wb") as out:
         for line in lines:
-            out.write(line + "\n")
+            out.write(f"{line}\n".encode())
 
 
 def node_id(cell: Column) -> Column:
@@ -211,7 +245,7 @@ def write_network_text(network: Network, path: str) -> None:
 class _Reader:
     def __init__(self, path: str):
         _need_file(path)
-        with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
+        with opened(path, "rb") as f:
             self.data = f.read()
         self.at = 0
 
@@ -268,7 +302,7 @@ def read_nodeset_binary(spark: SparkSession, path: str) -> Nodeset:
 
 def write_nodeset_binary(nodes: Nodeset, path: str) -> None:
     kinds = list(nodes.attributes.values())
-    with (gzip.open if path.endswith(".gz") else open)(path, "wb") as f:
+    with opened(path, "wb") as f:
         f.write(NODESET_MAGIC + bytes([VERSION]) + _text_bytes(nodes.name) + bytes([len(kinds)]))
         for a, k in nodes.attributes.items():
             f.write(_text_bytes(a) + bytes([TYPE_BYTES[k]]))
@@ -324,7 +358,7 @@ def read_network_binary(spark: SparkSession, path: str, settings: Settings, reso
 
 
 def write_network_binary(network: Network, path: str) -> None:
-    with (gzip.open if path.endswith(".gz") else open)(path, "wb") as f:
+    with opened(path, "wb") as f:
         f.write(NETWORK_MAGIC + bytes([VERSION]) + _text_bytes(network.name) + _text_bytes(network.nodeset.path) + bytes([len(network.layers)]))
         for layer in network.layers.values():
             f.write(_text_bytes(layer.name) + bytes([layer.mode]))

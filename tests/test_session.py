@@ -130,6 +130,24 @@ def test_round_trips(session, ends):
     assert session.run("info(back)").payload["Layers"] == session.run("info(town)").payload["Layers"]
 
 
+@pytest.mark.parametrize("ends", ["tsv.gz", "bin", "parquet"])
+def test_addresses_with_a_scheme(session, ends):
+    """As an object store's; here that of the local files."""
+    there = f"file://{session.folder}/store"
+    assert session.run(f'savefile(people, "{there}/people.{ends}")').success
+    r = session.run(f'savefile(town, "{there}/town.{ends}")')
+    assert r.success, r
+    assert session.run(f'away = loadfile("{there}/town.{ends}", network)').success
+    assert session.run("getalledges(away, loans)").payload == session.run("getalledges(town, loans)").payload
+    assert session.run(f'x = loadfile("{there}/gone.{ends}", nodeset)').code == "FileNotFound"
+    assert session.run(f'exportlayer(town, loans, "{there}/loans.csv")').success
+    session.run("removelayer(town, afar)")
+    session.run("addlayer(town, afar, 1, valuetype=valued)")
+    assert session.run(f'importlayer(town, afar, "{there}/loans.csv", edgelist, header=true)').success
+    assert session.run("getalledges(town, afar)").payload == session.run("getalledges(town, loans)").payload
+    session.run("removelayer(town, afar)")
+
+
 def test_hand_written_file(spark, tmp_path):
     (tmp_path / "n.tsv").write_text("set\tgender:Char\tweight:Float\n1\tm\t1.5\n2\t\t\n\n3\tx\n1\tf\t\n")
     (tmp_path / "net.tsv").write_text("# c\nName: x\nNodesetFile: n.tsv\n\nLayerMode: 1\nLayerName: t\nDirectionality: directed\nValueType: valued\nSelfties: false\n1\t2;5\t3;0.25\t\n2\t1;0\n\nLayerMode: 2\nLayerName: w\na:b\t1\t2\t2\nempty\n")
