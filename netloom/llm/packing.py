@@ -10,10 +10,12 @@ Only containers with room to spare are ever shuffled, and each round has as many
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,10 @@ BINS_SQL = "pack_name string, capacity int, used int, pieces array<struct<doc_id
 
 
 def counter(path: str = TOKENIZER):
-    """Text to number of tokens."""
+    """Text to number of tokens.  path: as on the driver, or that of the copy that Spark has brought to the executor."""
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
     encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
@@ -126,6 +128,8 @@ def pack_texts(
     left out; of one pack_name the smallest capacity counts; empty tables give no rows; further columns are ignored.
     `capacities` is a short list: it is read to the driver, and each entry repeats the packing.
     """
+    if os.path.exists(tokenizer):  # executors need not have the file
+        documents.sparkSession.sparkContext.addFile(tokenizer)
     sizes = capacities.select("pack_name", F.col("capacity_tokens").alias("c")).dropna().where("c > 0").groupBy("pack_name").agg(F.min("c").alias("c"))
     wanted = sorted((r["pack_name"], r["c"]) for r in sizes.collect())
     items_per_task = max(items_per_task, 4 * len(wanted))  # so that rounds of half empty containers shrink

@@ -50,3 +50,18 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pack_texts(docs, spark.createDataFrame([("s", 64)], "pack_name string, capacity_tokens int")).count() == 0
     assert pack_texts(spark.createDataFrame([(1, "a")], docs.schema), spark.createDataFrame([], "pack_name string, capacity_tokens int")).count() == 0
+
+
+def test_executors_need_not_have_the_tokenizer(spark, tmp_path):
+    """A vocabulary that only the driver has is brought along; a second packing finds it again."""
+    from netloom.llm.packing import TOKENIZER
+
+    own = tmp_path / "vocabulary.tiktoken"
+    own.write_bytes(open(TOKENIZER, "rb").read())
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
+    packs = spark.createDataFrame([("s", 64)], "pack_name string, capacity_tokens int")
+    for _ in range(2):
+        assert {r["doc_id"] for r in pack_texts(docs, packs, tokenizer=str(own)).collect()} == {1, 2}
+    spark.sparkContext.addFile(str(own))
+    own.unlink()
+    assert counter(str(own))("one two three") == counter()("one two three")
