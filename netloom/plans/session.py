@@ -563,18 +563,20 @@ def get_random_edge(s: Session, a: Args, _) -> Result:
     layer = net.layer(a.text("layername"))
     if net.nodeset.df.limit(2).count() < 2:
         raise Failure("ConstraintNoNodes", "The nodeset has fewer than two nodes.")
+    # only what lies between nodes of the nodeset, as other commands refuse strangers
     if layer.mode == 1:
-        row = layer.df.orderBy(uniform(seed, "edge", F.col("src"), F.col("dst"))).first()
+        row = graph.induced(layer.df, net.nodeset.df).orderBy(uniform(seed, "edge", F.col("src"), F.col("dst"))).first()
         if row is None:
             raise Failure("EdgeNotFound", "The layer has no edges.")
         return ok("", {"node1": row["src"], "node2": row["dst"], "value": row["value"]})
     # a hyperedge by its number of pairs, then two of its members
-    sizes = layer.df.groupBy("hyper_name").agg(F.count("*").alias("k")).where("k > 1")
+    members = graph.induced_members(layer.df, net.nodeset.df)
+    sizes = members.groupBy("hyper_name").agg(F.count("*").alias("k")).where("k > 1")
     weight = F.col("k") * (F.col("k") - 1) / 2
     hyper = sizes.orderBy(-F.log(uniform(seed, "hyper", F.col("hyper_name")) + F.lit(2.0**-54)) / weight).first()
     if hyper is None:
         raise Failure("EdgeNotFound", "No hyperedge has two members.")
-    two = layer.df.where(F.col("hyper_name") == hyper["hyper_name"]).orderBy(uniform(seed, "pair", F.col("node_id"))).limit(2).collect()
+    two = members.where(F.col("hyper_name") == hyper["hyper_name"]).orderBy(uniform(seed, "pair", F.col("node_id"))).limit(2).collect()
     x, y = sorted(r["node_id"] for r in two)
     return ok("", {"node1": x, "node2": y, "value": layer.value(x, y)})
 
