@@ -1,8 +1,9 @@
 """Nodesets and networks in files: sectioned text (.tsv, .tsv.gz), binary (.bin, .bin.gz) and Parquet folders (.parquet).
 
 Text is read by Spark line by line; only section headings, a few lines per layer, come to the driver.  A text or binary
-file is one file by its definition, so it is written by the driver, row by row as partitions arrive; Parquet is the form
-for data of any size, and is written and read in parallel.
+file is one file by its definition, so it is written by the driver, row by row as partitions arrive; a binary one is also
+read there, as a stream, and goes to the shared folder block by block.  Parquet is the form for data of any size, and is
+written and read in parallel.
 """
 
 from __future__ import annotations
@@ -12,15 +13,22 @@ import json
 import os
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from typing import BinaryIO
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window as W
 
 from netloom.functions.conditions import NODE_MAX
 from netloom.functions.errors import Failure
-from netloom.functions.tables import cut
+from netloom.functions.tables import checkpoint_folder, cut
 from netloom.operators.model import Network, Nodeset, Settings
 
 FORMATS = ("tsv", "tsv.gz", "bin", "bin.gz", "parquet")
@@ -97,8 +105,6 @@ def node_id(cell: Column) -> Column:
 
 def _float_text(value: float) -> str:
     """Shortest decimal that reads back to the same 32-bit float."""
-    import numpy as np
-
     text = str(np.float32(value))
     return text[:-2] if text.endswith(".0") else text
 
@@ -242,31 +248,81 @@ def write_network_text(network: Network, path: str) -> None:
 # --- binary -------------------------------------------------------------------------------------------------------
 
 
+#: Rows that the driver holds at once while it reads or writes a binary file.
+HELD = 200_000
+
+
 class _Reader:
-    def __init__(self, path: str):
-        _need_file(path)
-        with opened(path, "rb") as f:
-            self.data = f.read()
-        self.at = 0
+    """A stream of values; never more of the file than HELD of them is held."""
+
+    def __init__(self, file: BinaryIO):
+        self.file = file
+
+    def raw(self, size: int) -> bytes:
+        data = self.file.read(size) if size >= 0 else b""
+        if len(data) != size:
+            raise Failure("IOLoadError", "The file ends too early.")
+        return data
 
     def take(self, code: str) -> tuple:
-        try:
-            out = struct.unpack_from("<" + code, self.data, self.at)
-        except struct.error as e:
-            raise Failure("IOLoadError", "The file ends too early.") from e
-        self.at += struct.calcsize("<" + code)
-        return out
+        return struct.unpack("<" + code, self.raw(struct.calcsize("<" + code)))
 
     def one(self, code: str):
         return self.take(code)[0]
 
     def text(self) -> str:
-        return self.take(f"{self.one('B')}s")[0].decode("utf-8")
+        return self.raw(self.one("B")).decode("utf-8")
 
     def magic(self, wanted: bytes) -> None:
         if self.take("4s")[0] != wanted or self.one("B") != VERSION:
             raise Failure("IOLoadError", "The file is of another kind or version.")
 
+    def parts(self, count: int, width: int) -> Iterator[tuple[int, bytes]]:
+        """(number, bytes) of so many records of the given width, HELD at most at a time."""
+        if count < 0:
+            raise Failure("IOLoadError", "The file ends too early.")
+        while count:
+            n = min(count, HELD)
+            yield n, self.raw(n * width)
+            count -= n
+
+
+@contextmanager
+def _reading(path: str):
+    _need_file(path)
+    with opened(path, "rb") as f:
+        yield _Reader(f)
+
+
+class _Gathered:
+    """Rows that come to the driver a block at a time, as a Parquet file in the shared folder, from which Spark reads them."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.fields = spark, spark.createDataFrame([], schema).schema.fields
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string()}
+        self.schema = pa.schema([(f"c{k}", kinds[f.dataType.simpleString()]) for k, f in enumerate(self.fields)])
+        self.folder = self.file = None
+
+    def add(self, *columns) -> None:
+        if self.file is None:
+            self.folder = tempfile.TemporaryDirectory()
+            self.file = parquet.ParquetWriter(os.path.join(self.folder.name, "rows.parquet"), self.schema)
+        self.file.write_table(pa.table([pa.array(c, t) for c, t in zip(columns, self.schema.types)], schema=self.schema))
+
+    def table(self) -> DataFrame | None:
+        """None if there were no rows."""
+        if self.file is None:
+            return None
+        self.file.close()
+        path = f"{checkpoint_folder(self.spark)}/netloom-{uuid.uuid4().hex}.parquet"
+        near = self.spark._jvm.org.apache.hadoop.fs.Path(f"file://{self.folder.name}/rows.parquet")
+        store, there = _store(path)
+        store.mkdirs(there)
+        store.copyFromLocalFile(True, True, near, there)
+        self.folder.cleanup()
+        schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(self.fields)])
+        return self.spark.read.schema(schema).parquet(path).toDF(*[f.name for f in self.fields])
+
 
 def _text_bytes(text: str) -> bytes:
     raw = text.encode("utf-8")
@@ -279,24 +335,32 @@ _PACK = {"int": "i", "float": "f", "bool": "i", "char": "I"}
 
 
 def read_nodeset_binary(spark: SparkSession, path: str) -> Nodeset:
-    r = _Reader(path)
-    r.magic(NODESET_MAGIC)
-    name = r.text()
-    kinds = {v: k for k, v in TYPE_BYTES.items()}
-    attributes = [(r.text(), kinds[r.one("B")]) for _ in range(r.one("B"))]
-    rows = [(node, *[None] * len(attributes)) for node in r.take(f"{r.one('i')}I")]
-    for _ in range(r.one("i")):
-        node, k = r.take("IB")
-        values: list = [None] * len(attributes)
-        for _ in range(k):
-            at = r.one("B")
-            kind = attributes[at][1]
-            raw = r.one(_PACK[kind])
-            values[at] = bool(raw) if kind == "bool" else chr(raw & 0xFFFF) if kind == "char" else raw
-        rows.append((node, *values))
-    out = Nodeset(spark, name, None, dict(attributes), path)
-    if rows:
-        out.table.set(spark.createDataFrame(rows, out._schema()))
+    with _reading(path) as r:
+        r.magic(NODESET_MAGIC)
+        name = r.text()
+        kinds = {v: k for k, v in TYPE_BYTES.items()}
+        attributes = [(r.text(), kinds[r.one("B")]) for _ in range(r.one("B"))]
+        out = Nodeset(spark, name, None, dict(attributes), path)
+        rows = _Gathered(spark, out._schema())
+        for n, raw in r.parts(r.one("i"), 4):
+            rows.add(np.frombuffer(raw, "<u4"), *[[None] * n for _ in attributes])
+        left = r.one("i")
+        while left > 0:
+            block: list[list] = [[] for _ in range(len(attributes) + 1)]
+            for _ in range(min(left, HELD)):
+                node, k = r.take("IB")
+                values: list = [None] * len(attributes)
+                for _ in range(k):
+                    at = r.one("B")
+                    kind = attributes[at][1]
+                    raw = r.one(_PACK[kind])
+                    values[at] = bool(raw) if kind == "bool" else chr(raw & 0xFFFF) if kind == "char" else raw
+                for column, value in zip(block, (node, *values)):
+                    column.append(value)
+            rows.add(*block)
+            left -= HELD
+    if (df := rows.table()) is not None:
+        out.table.set(df)
     return out
 
 
@@ -323,60 +387,113 @@ def write_nodeset_binary(nodes: Nodeset, path: str) -> None:
                 f.write(struct.pack("<B" + _PACK[kinds[i]], i, ord(v) if kinds[i] == "char" else v))
 
 
+def _read_edges(r: _Reader, rows: _Gathered, undirected: bool, valued: bool) -> None:
+    record = np.dtype([("dst", "<u4"), ("value", "<f4")][: 2 if valued else 1])
+    egos, counts, pieces, held = [], [], [], 0
+
+    def flush() -> None:
+        src, x = np.repeat(np.array(egos, np.int64), counts), np.frombuffer(b"".join(pieces), record)
+        dst = x["dst"].astype(np.int64)
+        rows.add(*((np.minimum(src, dst), np.maximum(src, dst)) if undirected else (src, dst)), x["value"] if valued else np.ones(len(x), np.float32))
+
+    for _ in range(r.one("i")):
+        ego, k = r.take("Ii")
+        for n, raw in r.parts(k, record.itemsize):
+            egos.append(ego)
+            counts.append(n)
+            pieces.append(raw)
+            held += n
+            if held >= HELD:
+                flush()
+                egos, counts, pieces, held = [], [], [], 0
+    if held:
+        flush()
+
+
+def _read_members(r: _Reader, rows: _Gathered, names: _Gathered) -> None:
+    """Names of hyperedges, also of those without members."""
+    hypers, counts, pieces, held, every = [], [], [], 0, []
+
+    def flush() -> None:
+        of = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(hypers), dtype=np.int32), counts), pa.array(hypers, pa.string()))
+        rows.add(of.cast(pa.string()), np.frombuffer(b"".join(pieces), "<u4"))
+
+    for _ in range(r.one("i")):
+        hyper = r.text()
+        every.append(hyper)
+        if len(every) >= HELD:
+            names.add(every)
+            every = []
+        for n, raw in r.parts(r.one("i"), 4):
+            hypers.append(hyper)
+            counts.append(n)
+            pieces.append(raw)
+            held += n
+            if held >= HELD:
+                flush()
+                hypers, counts, pieces, held = [], [], [], 0
+    if held:
+        flush()
+    if every:
+        names.add(every)
+
+
 def read_network_binary(spark: SparkSession, path: str, settings: Settings, resolve=lambda p: p) -> tuple[Network, Nodeset]:
-    r = _Reader(path)
-    r.magic(NETWORK_MAGIC)
-    name, nodeset_path = r.text(), r.text()
-    nodes = read_nodeset(spark, resolve(nodeset_path))
-    network = Network(spark, name, nodes, settings, path)
-    for _ in range(r.one("B")):
-        layer_name, mode = r.text(), r.one("B")
-        if mode == 1:
-            undirected, valued, selfties = r.take("BBB")
-            rows = set()
-            for _ in range(r.one("i")):
-                ego, k = r.take("Ii")
-                for _ in range(k):
-                    alter, value = r.take("If") if valued else (r.one("I"), 1.0)
-                    rows.add(((min(ego, alter), max(ego, alter)) if undirected else (ego, alter)) + (value,))
-            layer = network.add_one_mode(layer_name, not undirected, bool(valued), bool(selfties))
-            if rows:
-                layer.table.set(spark.createDataFrame(sorted(rows), layer.table.schema))
-        else:
-            names, members = [], set()
-            for _ in range(r.one("i")):
-                hyper = r.text()
-                names.append((hyper,))
-                members |= {(hyper, n) for n in r.take(f"{r.one('i')}I")}
-            layer = network.add_two_mode(layer_name)
-            if names:
-                layer.names.set(spark.createDataFrame(names, layer.names.schema))
-            if members:
-                layer.table.set(spark.createDataFrame(sorted(members), layer.table.schema))
+    with _reading(path) as r:
+        r.magic(NETWORK_MAGIC)
+        name, nodeset_path = r.text(), r.text()
+        nodes = read_nodeset(spark, resolve(nodeset_path))
+        network = Network(spark, name, nodes, settings, path)
+        for _ in range(r.one("B")):
+            layer_name, mode = r.text(), r.one("B")
+            if mode == 1:
+                undirected, valued, selfties = r.take("BBB")
+                layer = network.add_one_mode(layer_name, not undirected, bool(valued), bool(selfties))
+                rows = _Gathered(spark, layer.table.schema)
+                _read_edges(r, rows, bool(undirected), bool(valued))
+            else:
+                layer = network.add_two_mode(layer_name)
+                rows, names = _Gathered(spark, layer.table.schema), _Gathered(spark, layer.names.schema)
+                _read_members(r, rows, names)
+                if (df := names.table()) is not None:
+                    layer.names.set(df)
+            if (df := rows.table()) is not None:
+                layer.table.set(df.distinct())
     network.modified = False
     return network, nodes
 
 
+def _by_owner(df: DataFrame, owner: str, other: str, value: Column) -> DataFrame:
+    """(owner, part, x, n): the values of an owner by parts in the order of `other`, so that no row is large; n counts them all."""
+    pieces = df.groupBy(owner, F.shiftright(other, 16).alias("part")).agg(F.sort_array(F.collect_list(value)).alias("x"))
+    return pieces.withColumn("n", F.sum(F.size("x")).over(W.partitionBy(owner)))
+
+
 def write_network_binary(network: Network, path: str) -> None:
     with opened(path, "wb") as f:
         f.write(NETWORK_MAGIC + bytes([VERSION]) + _text_bytes(network.name) + _text_bytes(network.nodeset.path) + bytes([len(network.layers)]))
         for layer in network.layers.values():
             f.write(_text_bytes(layer.name) + bytes([layer.mode]))
+            last = None
             if layer.mode == 1:
                 f.write(struct.pack("<BBB", not layer.directed, layer.valued, layer.selfties))
-                egos = layer.df.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "value"))).alias("x")).orderBy("src")
-                f.write(struct.pack("<i", egos.count()))
-                for r in egos.toLocalIterator():
-                    f.write(struct.pack("<Ii", r["src"], len(r["x"])))
+                f.write(struct.pack("<i", layer.df.select("src").distinct().count()))
+                for r in _by_owner(layer.df, "src", "dst", F.struct("dst", "value")).orderBy("src", "part").toLocalIterator():
+                    if r["src"] != last:
+                        last = r["src"]
+                        f.write(struct.pack("<Ii", last, r["n"]))
                     for dst, value in r["x"]:
                         f.write(struct.pack("<If", dst, value) if layer.valued else struct.pack("<I", dst))
             else:
-                grouped = layer.df.groupBy("hyper_name").agg(F.sort_array(F.collect_list("node_id")).alias("x"))
-                every = layer.names.df.join(grouped, "hyper_name", "left").orderBy("hyper_name")
-                f.write(struct.pack("<i", every.count()))
+                grouped = _by_owner(layer.df, "hyper_name", "node_id", F.col("node_id"))
+                every = layer.names.df.join(grouped, "hyper_name", "left").orderBy("hyper_name", "part")
+                f.write(struct.pack("<i", layer.names.df.count()))
                 for r in every.toLocalIterator():
+                    if r["hyper_name"] != last:
+                        last = r["hyper_name"]
+                        f.write(_text_bytes(last) + struct.pack("<i", r["n"] or 0))
                     ids = r["x"] or []
-                    f.write(_text_bytes(r["hyper_name"]) + struct.pack(f"<i{len(ids)}I", len(ids), *ids))
+                    f.write(struct.pack(f"<{len(ids)}I", *ids))
 
 
 # --- Parquet ------------------------------------------------------------------------------------------------------
