@@ -13,7 +13,8 @@ outside the rated samples are learnt; as words alone may drift to other topics,
 written (end, case, disguises) must be more frequent among rated toxic samples than in the corpus.
 A document's score is that of its worst segment, so that a sentence in a long page is not averaged away.
 
-Segments are counted over all documents, and all segments are candidates for the next fits; the fitting set is bounded (`Recipe`).
+Segments are counted over all documents, all are candidates for the next fits, and the prior and the threshold come from the scores of all;
+only the fitting set is bounded (`Recipe`).
 Fitting and scoring are apart: a Classifier can be kept as a table and score any number of corpora.
 """
 
@@ -37,15 +38,15 @@ from netloom.llm.text import MOJIBAKE, TAG, decoded
 
 @dataclass(frozen=True)
 class Recipe:
-    """Parameters of the training; `segments` bounds the unlabelled fitting set, `asked` the candidates, `labels` the rated samples.
+    """Parameters of the training; `segments` bounds the unlabelled fitting set, `asked` the candidates, `labels` the rated samples (None: all).
 
     furniture: part of all documents that the words of page furniture stand in, and in `recurs` of them at least: fewer copies
     show nothing.  precision: of the flagged segments, as estimated; texts are to be reviewed, so recall comes first beyond that.  odds: how many times more frequent a way of writing must be among rated toxic samples than in the corpus.
     """
 
     segments: int = 60_000
-    asked: int = 20_000
-    labels: int = 20_000
+    asked: int | None = None
+    labels: int | None = None
     prior: float | None = None
     rated: float = 0.5
     steps: int = 100
@@ -371,7 +372,7 @@ def _masks(toxic: list[str], seen: Counter) -> dict[tuple, str]:
 
 def train(
     rated: list[tuple[str, int]], unlabelled: list[tuple[list[str], str]], counts: list[int] | None = None, r: Recipe = Recipe(), thinned: float = 1.0,
-    common: list[bool] | None = None, written: dict[str, int] | None = None, ask: Callable | None = None,
+    common: list[bool] | None = None, written: dict[str, int] | None = None, ask: Callable | None = None, spread: Callable | None = None,
 ) -> Classifier:
     """A classifier from rated samples (votes above 0: toxic, below: harmless) and distinct segments of unlabelled text.
 
@@ -379,6 +380,8 @@ def train(
     some are given.  common: which recur often enough to be furniture (`recurs` times, if not given); those that match or score like
     rated toxic samples are not, and do not weigh as their count.  written: how many segments of the corpus are written in each way (marks).
     ask(model, ways) gives (words, marks) of further segments, written in these ways, for which the first fit is fairly sure.
+    spread(grams, weights, biases, masks, at) gives the shares of all distinct segments of the corpus that reach each score, a row for each
+    column of the weights; without it the given segments stand for the corpus.
     """
     toxic, harmless = _agreed(rated)
     count = np.array(counts or [1] * len(unlabelled), float)
@@ -396,24 +399,25 @@ def train(
     telling = frozenset(k for k, x in odds.items() if x >= r.odds)
 
     plain = lambda w, k: tuple(reader.unmask(w) if "M" in k else w)
-    grams = lambda part: [set(_grams(plain(w, k), k)) for w, k, *_ in part]
-    pos, neg, unl = grams(pos_segments), grams(neg_segments), grams(unlabelled)
+    grams = lambda part: (set(_grams(plain(w, k), k)) for w, k, *_ in part)
     own = {plain(w, k) for w, k, _ in pos_segments} - {plain(w, k) for w, k, _ in neg_segments}
     same = np.array([plain(w, k) in own for w, k in unlabelled], bool)
-    often = Counter(g for part in (pos, neg, unl) for s in part for g in s)
+    often = Counter(g for part in (pos_segments, neg_segments, unlabelled) for s in grams(part) for g in s)
     # marks that no toxic sample has are no evidence, either way
     shown = {x for _, k, _ in pos_segments for x in _style(k)}
     number = {g: i for i, g in enumerate(sorted(g for g, n in often.items() if n > 1 and (g[0] != "#" or g in shown)))}
-    numbers = lambda part: [np.array([number[g] for g in s if g in number], np.int32) for s in part]
-    pos_rows, neg_rows, unl_rows = numbers(pos), numbers(neg), numbers(unl)
+    numbers = lambda part: [np.array([number[g] for g in s if g in number], np.int32) for s in grams(part)]
+    once = np.sort(np.fromiter((hash(g) for g, n in often.items() if n == 1), np.int64))  # most n-grams, known again by their hashes
+    del often
+    pos_rows, neg_rows, unl_rows = numbers(pos_segments), numbers(neg_segments), numbers(unlabelled)
     pick = lambda rows, keep: [x for x, yes in zip(rows, keep) if yes]
 
-    def narrowed(*parts: list) -> tuple[int, list[list]]:
+    def narrowed(*parts: list) -> tuple[np.ndarray, list[list]]:
         """The rows without n-grams that none of the first parts (all but the last) has: enough for fits that don't go beyond the samples."""
         known = np.unique(np.concatenate([np.empty(0, np.int32)] + [r for part in parts[:-1] for r in part]))
         place = np.full(len(number) + 1, -1)
         place[known] = np.arange(len(known))
-        return len(known), [[(x := place[r])[x >= 0] for r in part] for part in parts]
+        return known, [[(x := place[r])[x >= 0] for r in part] for part in parts]
 
     # a stiff fit cannot learn single samples by heart: ratings that it contradicts are taken as wrong, and what recurs
     # word by word on page after page is furniture, and harmless, unless it scores like a toxic sample
@@ -422,7 +426,8 @@ def train(
     # for prior and threshold each wording counts once, however often it is copied, and those of the samples too
     whole = np.where(common, 1.0, thinned)
     weights = np.where(same, 0.0, count * whole)
-    width, (p, n, u) = narrowed(pos_rows, neg_rows, unl_rows)
+    known, (p, n, u) = narrowed(pos_rows, neg_rows, unl_rows)
+    width = len(known)
     p, n, u = _Sparse(p, width), _Sparse(n, width), _Sparse(u, width, weights)
     w, b = _fit(p, n, u, stiff, prior, r.stiff)
     sp, sn, su = p.dot(w) + b, n.dot(w) + b, u.dot(w) + b
@@ -435,26 +440,39 @@ def train(
     neg_rows = pick(neg_rows, keep_neg) + pick(unl_rows, common & ~alike)
     weights = np.where(alike & common, np.minimum(weights, 1.0), weights)
 
-    def held_out(extra: list, weights: np.ndarray, r: Recipe) -> tuple[np.ndarray, ...]:
-        """Scores from -6 to 8, and the shares of toxic samples that the fit did not see, and of segments, that reach each of them."""
-        width, (p, e, n, u) = narrowed(pos_rows, extra, neg_rows, unl_rows)
+    def held_out(extra: list, weights: np.ndarray, r: Recipe, also: tuple | None = None) -> tuple[np.ndarray, ...]:
+        """Scores from -6 to 8, the shares of toxic samples that the fit did not see, and of segments, that reach each of them, and the share of segments by a further fit."""
+        known, (p, e, n, u) = narrowed(pos_rows, extra, neg_rows, unl_rows)
+        width = len(known)
         n, rest, every = _Sparse(n, width), _Sparse(u, width, weights), _Sparse(u, width, whole)
-        held, over = [], []
+        held, fits = [], []
         for f in np.unique(fold) if len(np.unique(fold)) > 1 else ():
             w, b = _fit(_Sparse(pick(p, fold != f) + e, width), n, rest, r, prior, r.stiff)
             held.append(_Sparse(pick(p, fold == f), width).dot(w) + b)
-            over.append(every.dot(w) + b)
+            fits.append((w, b))
         if not held or not every.n:
-            return np.empty(0), np.empty(0), np.empty(0)
+            return np.empty(0), np.empty(0), np.empty(0), np.empty(0)
         at = np.arange(-60, 81) / 10.0
-        return at, (np.concatenate(held)[:, None] >= at[None, :]).mean(axis=0), np.mean([every.above(s, at) for s in over], axis=0)
+        if spread is None:
+            over = [every.above(every.dot(w) + b, at) for w, b in fits]
+            if also:
+                over.append((all_ := _Sparse(unl_rows, len(number), whole)).above(all_.dot(also[0]) + also[1], at))
+        else:
+            columns = np.zeros((len(number), len(fits) + bool(also)))
+            for k, (w, _) in enumerate(fits):
+                columns[known, k] = w
+            if also:
+                columns[:, -1] = also[0]
+            used = np.abs(columns).max(axis=1, initial=0.0) > 1e-4
+            over = spread([g for g, yes in zip(number, used) if yes], columns[used], np.array([b for _, b in [*fits, *([also] if also else [])]]), reader.masks, at)
+        return at, (np.concatenate(held)[:, None] >= at[None, :]).mean(axis=0), np.mean(over[: len(fits)], axis=0), over[-1]
 
     def estimated(hit: np.ndarray, seen: np.ndarray, least: float, otherwise: float) -> float:
         ratio = (seen / np.maximum(hit, 1e-9))[hit >= least]
         return float(np.clip(ratio.min(), 1e-4, 0.2)) if len(ratio) else otherwise
 
     if r.prior is None:
-        _, hit, seen = held_out([], weights, stiff)
+        _, hit, seen, _ = held_out([], weights, stiff)
         prior = estimated(hit, seen, 0.2, prior)
 
     width = len(number)
@@ -464,14 +482,14 @@ def train(
     if ask is not None and telling:
         there = {(plain(w, k), k) for w, k in unlabelled}
         more = [(w, k) for w, k in ask(named(fitted), telling) if (plain(w, k), k) not in there]
-        new = grams(more)
-        fresh = Counter(g for s in new for g in s if g not in number)
-        for g in sorted(g for g, c in fresh.items() if (c > 1 or often[g]) and (g[0] != "#" or g in shown)):
+        fresh = Counter(g for s in grams(more) for g in s if g not in number)
+        seen_once = lambda g: (i := np.searchsorted(once, hash(g))) < len(once) and once[i] == hash(g)
+        for g in sorted(g for g, c in fresh.items() if (c > 1 or seen_once(g)) and (g[0] != "#" or g in shown)):
             number[g] = len(number)
         grown = len(number) - width
         width = len(number)
         fitted = (np.append(fitted[0], np.zeros(grown)), fitted[1])
-        unl_rows += numbers(new)
+        unl_rows += numbers(more)
         marks += [k for _, k in more]
         weights, whole = np.append(weights, np.ones(len(more))), np.append(whole, np.zeros(len(more)))
     styled = np.array([k in telling for k in marks], bool) & ~np.append(common, np.zeros(len(marks) - len(common), bool))  # furniture is no candidate
@@ -482,13 +500,11 @@ def train(
         rest = _Sparse(unl_rows, width, np.where(sure, 0.0, weights))
         fitted = _fit(_Sparse(pos_rows + pick(unl_rows, sure), width), _Sparse(neg_rows, width), rest, r, prior, r.again, fitted)
     threshold = 0.5
-    at, hit, seen = held_out(pick(unl_rows, sure), np.where(sure, 0.0, weights), r)
+    at, hit, seen, own = held_out(pick(unl_rows, sure), np.where(sure, 0.0, weights), r, fitted)
     if len(at):
         # the last fits know more wordings than the samples have, so the prior is estimated anew, where few samples are missed
         good = estimated(hit, seen, 0.9, prior) * hit / np.maximum(seen, 1e-12) >= r.precision
         if good.any():  # the fits without a part differ in scale from the whole one, so the share of segments is what is carried over
-            scores = every.dot(fitted[0]) + fitted[1]
-            own = _Sparse(unl_rows, width, whole).above(scores, at)
             threshold = float(_sigmoid(at[np.argmax(own <= seen[np.argmax(good)])]))
     model = named(fitted, threshold)
     model.prior = prior
@@ -517,11 +533,36 @@ def _score_segments(model: Classifier):
     return run
 
 
+def _count_scores(grams: list[str], weights: np.ndarray, biases: np.ndarray, masks: dict[tuple, str], at: np.ndarray):
+    """How many segments of a task score below the first of the given values, from each to the next, and beyond, by each column of the weights."""
+    reader, places = Classifier({}, 0.0, masks), len(at) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {g: k for k, g in enumerate(grams)}
+        padded, total = np.vstack([weights, np.zeros((1, len(biases)))]), np.zeros((len(biases), places), np.int64)
+        for b in batches:
+            cols, starts = [], []
+            for w, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = w.split(" ")
+                starts.append(len(cols))
+                cols += {number[g] for g in _grams(reader.unmask(words) if "M" in m else words, m) if g in number}
+                cols.append(len(grams))  # of weight 0, so that no row is empty
+            if starts:
+                scores = np.add.reduceat(padded[np.array(cols)], np.array(starts), axis=0) + biases
+                for k in range(len(biases)):
+                    total[k] += np.bincount(np.searchsorted(at, scores[:, k], "right"), minlength=places)
+        k, place = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(place, pa.int32()), pa.array(total[k, place], pa.int64())], names=["fit", "place", "n"])
+
+    return run
+
+
 def train_on(documents: DataFrame, labels: DataFrame, r: Recipe = Recipe()) -> Classifier:
-    """Trains on `labels` rated samples, and on `segments` distinct segments, which are counted over all documents.
+    """Trains on all rated samples, and on `segments` distinct segments, which are counted over all documents.
 
     Samples with the same words, undisguised, are rated together: toxic if more ratings call them so; ties are left out.  Candidates for
-    the further fits are all segments written in a telling way, of which the `asked` surest are taken.
+    the further fits are all segments written in a telling way of which the first fit is fairly sure.  The prior and the threshold
+    come from the scores of all distinct segments.
     """
     texts = documents.select("text").where("text <> ''")
     n = texts.count()
@@ -539,17 +580,25 @@ def train_on(documents: DataFrame, labels: DataFrame, r: Recipe = Recipe()) -> C
     rare = sum(not x["common"] for x in chosen)
     votes = F.sum(F.when(F.col("label") == "none", -1).otherwise(1)).alias("votes")
     judged = labels.select("sample_text", "label").dropna().groupBy("sample_text").agg(votes)
-    judged = judged.orderBy(F.xxhash64("sample_text"), "sample_text").limit(r.labels).collect()
+    judged = judged.orderBy(F.xxhash64("sample_text"), "sample_text")
+    judged = (judged if r.labels is None else judged.limit(r.labels)).collect()  # rated by people, so they are few
 
     def ask(model: Classifier, telling: frozenset[str]) -> list[tuple[list[str], str]]:
         scored = held.where(F.col("marks").isin(*sorted(telling))).select("words", "marks").mapInArrow(_score_segments(model), "words string, marks string, score double")
-        top = scored.where(F.col("score") > float(np.log(0.02 / 0.98))).orderBy(F.desc("score"), "words", "marks").limit(r.asked)
-        return [(x["words"].split(" "), x["marks"]) for x in top.collect()]
+        top = scored.where(F.col("score") > float(np.log(0.02 / 0.98))).orderBy(F.desc("score"), "words", "marks")
+        return [(x["words"].split(" "), x["marks"]) for x in (top if r.asked is None else top.limit(r.asked)).collect()]
+
+    def spread(grams: list[str], weights: np.ndarray, biases: np.ndarray, masks: dict[tuple, str], at: np.ndarray) -> np.ndarray:
+        counted = held.select("words", "marks").mapInArrow(_count_scores(grams, weights, biases, masks, at), "fit int, place int, n long")
+        counts = np.zeros((len(biases), len(at) + 1))
+        for x in counted.groupBy("fit", "place").agg(F.sum("n").alias("n")).collect():
+            counts[x["fit"], x["place"]] = x["n"]
+        return counts[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:] / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
     unlabelled = [(x["words"].split(" "), x["marks"]) for x in chosen]
     return train(
         [(x["sample_text"], x["votes"]) for x in judged], unlabelled, [x["count"] for x in chosen], r, (total - frequent) / rare if rare else 1.0,
-        [x["common"] for x in chosen], {x["marks"]: x["count"] for x in ways}, ask,
+        [x["common"] for x in chosen], {x["marks"]: x["count"] for x in ways}, ask, spread,
     )
 
 
