@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.conditions import compare
-from netloom.functions.tables import cut
+from netloom.functions.tables import cut, written
 
 #: Hyperedges beyond this size are never enumerated pair by pair.
 LARGE = 128
@@ -84,7 +84,7 @@ def two_mode_degree(nodes: DataFrame, members: DataFrame, large: int = LARGE) ->
     """(node_id, degree): number of distinct alters over all hyperedges, without projecting the layer.
 
     Small hyperedges are enumerated.  A large one is a set of bitmaps, one for each range of ids; nodes with the same set of
-    large hyperedges form a class, whose reach is the count of bits of the united bitmaps.  Alters met in a small
+    large hyperedges form a class (named by its least node), whose reach is the count of bits of the united bitmaps.  Alters met in a small
     hyperedge count if their classes share no large hyperedge.  Sets are never gathered: a class is known by its size and two sums.
     """
     members = members.select("hyper_name", "node_id")
@@ -93,8 +93,9 @@ def two_mode_degree(nodes: DataFrame, members: DataFrame, large: int = LARGE) ->
     big = members.where(F.col("size") > large).select("hyper_name", "node_id")
     prints = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("hyper_name")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(11), "hyper_name"), 20)).alias("y")]
     classed = big.groupBy("node_id").agg(*prints).select("node_id", F.struct("k", "x", "y").alias("class"))
-    model = classed.groupBy("class").agg(F.min("node_id").alias("node_id"))  # one node stands for its class
-    held = cut(big.join(model, "node_id").select("class", "hyper_name"))
+    model = classed.groupBy("class").agg(F.min("node_id").alias("one"))  # one node stands for its class, and is its name
+    classed = classed.join(model, "class").select("node_id", F.col("one").alias("class"))
+    held = written(big.join(model.select(F.col("one").alias("node_id")), "node_id").select(F.col("node_id").alias("class"), "hyper_name"))
     bits = big.groupBy("hyper_name", F.bitmap_bucket_number("node_id").alias("range")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node_id")).alias("bits"))
     united = held.join(bits, "hyper_name").groupBy("class", "range").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
     reach = united.groupBy("class").agg((F.sum("n") - 1).alias("far"))
@@ -103,7 +104,7 @@ def two_mode_degree(nodes: DataFrame, members: DataFrame, large: int = LARGE) ->
     small = members.where(F.col("size") <= large).select("hyper_name", "node_id").join(classed, "node_id", "left")
     a = small.select("hyper_name", F.col("node_id").alias("u"), F.col("class").alias("cu"))
     b = small.select("hyper_name", F.col("node_id").alias("v"), F.col("class").alias("cv"))
-    met = cut(a.join(b, "hyper_name").where(F.col("u") < F.col("v")).groupBy("u", "v").agg(F.first("cu").alias("cu"), F.first("cv").alias("cv")))
+    met = written(a.join(b, "hyper_name").where(F.col("u") < F.col("v")).groupBy("u", "v").agg(F.first("cu").alias("cu"), F.first("cv").alias("cv")))
     # pairs of classes that met: those that share a large hyperedge are counted by it already
     asked = met.where("cu is not null and cv is not null").select("cu", "cv").distinct()
     other = held.select(F.col("class").alias("cv"), "hyper_name")
