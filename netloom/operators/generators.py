@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.chance import draw, generator, uniform
 from netloom.functions.errors import Failure
-from netloom.functions.tables import cut
+from netloom.functions.tables import cut, shuffle_width
 from netloom.operators.graph import numbered
 
 EDGES = "src long, dst long, value float"
@@ -52,21 +53,43 @@ def _named(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("src", "dst", F.lit(1.0).cast("float").alias("value"))
 
 
+#: Columns in a tile of the pair table, whose ids (8 bytes each) a task holds.
+TILE = 1 << 20
+#: Sparser layers are named by joins, as the ids of a tile would outweigh its edges.
+SPARSE = 1e-6
+
+
+def _strips(ranked: DataFrame, size: int) -> DataFrame:
+    """(at, ids): the first rank of each strip of that many ranks, and its ids in their order, as bytes.  Each is a partition of its own."""
+
+    def gathered(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        return pa.table({"at": pa.array([t["rank"][0].as_py()], pa.int64()), "ids": pa.array([t["node_id"].to_numpy().tobytes()], pa.binary())})
+
+    strips = cut(ranked.select("rank", F.col("node_id").cast("long")).groupBy(F.expr(f"rank div {size}")).applyInArrow(gathered, "at long, ids binary"))
+    return cut(strips.repartitionByRange(max(1, strips.count()), "at"))
+
+
 def erdos_renyi(nodes: DataFrame, p: float, directed: bool, selfties: bool, seed: int) -> DataFrame:
-    """Every possible pair with probability p, by geometric jumps along each row of the pair table (Batagelj and Brandes 2005)."""
+    """Every possible pair with probability p, by geometric jumps along each row of the pair table (Batagelj and Brandes 2005).
+
+    A task draws a tile of the table and has the ids of its rows and columns, so no edge is moved to be named.
+    """
     if not 0 <= p <= 1:
         raise Failure("InvalidArgument", "p lies between 0 and 1.")
     ranked, n = _ranked(nodes)
 
-    def row(rank: int) -> np.ndarray:
-        low = 0 if directed else rank
-        size = n - low
+    def row(rank: int, low: int, high: int) -> np.ndarray:
+        """The columns from low up to high that are hit; each tile's part of a row has a stream of its own."""
+        stream = (1, rank, low // TILE) if low else (1, rank)
+        low = low if directed else max(low, rank)
+        size = high - low
         if p <= 0 or size <= 0:
             return np.empty(0, np.int64)
         if p >= 1:
             hit = np.arange(size)
         else:
-            rng, at, parts = generator(seed, 1, rank), -1, []
+            rng, at, parts = generator(seed, *stream), -1, []
             while at < size:
                 jumps = rng.geometric(p, max(16, int((size - at) * p * 1.2) + 8))
                 where = at + np.cumsum(np.minimum(jumps, size + 1))
@@ -76,22 +99,41 @@ def erdos_renyi(nodes: DataFrame, p: float, directed: bool, selfties: bool, seed
         hit = hit + low
         return hit if selfties else hit[hit != rank]
 
+    def drawn(ranks: Iterator[int], low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for rank in ranks:
+            held.append((int(rank), row(int(rank), low, high)))
+            size += len(held[-1][1])
+            if size > 500_000:  # bounds what a task holds
+                yield joined(held)
+                held, size = [], 0
+        if size:
+            yield joined(held)
+
+    def joined(hits: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat([r for r, _ in hits], [len(h) for _, h in hits]), np.concatenate([h for _, h in hits])
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hits, size = [], 0
-            for rank in b["rank"]:
-                hits.append((int(rank), row(int(rank))))
-                size += len(hits[-1][1])
-                if size > 500_000:  # bounds what a task holds
-                    yield joined(hits)
-                    hits, size = [], 0
-            if size:
-                yield joined(hits)
-
-    def joined(hits: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
-        return pd.DataFrame({"a": np.repeat([r for r, _ in hits], [len(h) for _, h in hits]), "b": np.concatenate([h for _, h in hits])})
-
-    return _named(ranked.select("rank").mapInPandas(rows, "a long, b long"), ranked)
+            for x, y in drawn(b["rank"], 0, n):
+                yield pd.DataFrame({"a": x, "b": y})
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, own, low, other in zip(*(c.to_pylist() for c in batch.columns)):
+                own, other = np.frombuffer(own, np.int64), np.frombuffer(other, np.int64)
+                for x, y in drawn(range(at, at + len(own)), low, low + len(other)):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[x - at]), pa.array(other[y - low])], names=["src", "dst"])
+
+    if p < SPARSE or not n:
+        return _named(ranked.select("rank").mapInPandas(rows, "a long, b long"), ranked)
+    wide = min(n, TILE)
+    # some 20 million edges or an even share of the rows, but not so few that the ids of the columns outweigh them
+    high = min(TILE, max(1024, math.ceil(8 / p), min(math.ceil(2e7 / (p * wide)), math.ceil(n / shuffle_width(nodes.sparkSession)))))
+    columns = _strips(ranked, TILE).select(F.col("at").alias("low"), F.col("ids").alias("others"))
+    both = _strips(ranked, high).crossJoin(columns)
+    both = both if directed else both.where(F.col("low") + TILE > F.col("at"))
+    return both.mapInArrow(tiles, "src long, dst long").select("src", "dst", F.lit(1.0).cast("float").alias("value"))
 
 
 def watts_strogatz(nodes: DataFrame, k: int, beta: float, seed: int) -> DataFrame:

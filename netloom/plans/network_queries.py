@@ -8,15 +8,18 @@ a hyperedge is named layer/affiliation.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window as W
 
 from netloom.functions.chance import DEFAULT_SEED, uniform
 from netloom.functions.conditions import attribute_condition
-from netloom.functions.tables import checkpoint_folder, table
+from netloom.functions.tables import checkpoint_folder, cut, table, written
 from netloom.operators import generators, graph
 from netloom.operators.model import Network, Nodeset
 from netloom.sources import edgelists, files
@@ -368,12 +371,105 @@ def _shape(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _beside(own, strange, nodes.agg(F.count("*").alias("nodes")))
 
 
+_RUNS = "src long, low long, high long, n long, repeated long, selfties long, block long, bits binary"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in short: for each start in a batch the least and greatest end, the edges, those that are there before and self-ties.  Ends as bitmaps of blocks of ids."""
+    seen: dict[int, np.ndarray] = {}
+    pending: list[np.ndarray] = []
+    fields = [pa.int64()] * 7 + [pa.binary()]
+    names = [x.split()[0] for x in _RUNS.split(", ")]
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(next(x for x in columns if x is not None)), f) if c is None else pa.array(c, f) for c, f in zip(columns, fields)], names=names)
+
+    def marked() -> None:
+        ends = np.concatenate(pending)
+        pending.clear()
+        first = int(ends.min()) >> 15 << 15
+        if int(ends.max()) - first < 1 << 24:
+            hit = np.zeros(((int(ends.max()) - first >> 15) + 1) << 15, bool)
+            hit[ends - first] = True
+            for k, part in enumerate(hit.reshape(-1, 1 << 15)):
+                if part.any():
+                    seen[(first >> 15) + k] = part | seen.get((first >> 15) + k, False)
+        else:
+            ends = np.unique(ends)
+            blocks, starts = np.unique(ends >> 15, return_index=True)
+            for block, own in zip(blocks.tolist(), np.split(ends & 32767, starts[1:])):
+                seen.setdefault(block, np.zeros(1 << 15, bool))[own] = True
+                if len(seen) >= 1000:
+                    full.append(told())
+        if len(seen) >= 1000:
+            full.append(told())
+
+    def told() -> pa.RecordBatch:
+        blocks = sorted(seen)
+        batch = rows(*[None] * 6, blocks, [np.packbits(seen[k], bitorder="little").tobytes() for k in blocks])
+        seen.clear()
+        return batch
+
+    full: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        src, dst = b.column(0).to_numpy(), b.column(1).to_numpy()
+        pending.append(dst)
+        if not ((src[1:] > src[:-1]) | (src[1:] == src[:-1]) & (dst[1:] >= dst[:-1])).all():
+            order = np.lexsort((dst, src))
+            src, dst = src[order], dst[order]
+        new = np.append(True, src[1:] != src[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(src)) - 1
+        again = ~new & np.append(False, dst[1:] == dst[:-1])
+        yield rows(src[starts], dst[starts], dst[ends], ends - starts + 1, np.add.reduceat(again.astype(np.int64), starts), np.add.reduceat((src == dst).astype(np.int64), starts), None, None)
+        if sum(map(len, pending)) >= 1_000_000:
+            marked()
+        yield from full
+        full.clear()
+    if pending:
+        marked()
+    yield from full
+    if seen:
+        yield told()
+
+
+def _shape_in_short(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`_shape` and the variance of out-degrees (`spread`) in one pass, for edges too many to move that come start by start, ordered by their ends.
+
+    Only edges of starts whose stretches of ends meet are compared one by one, and ends are only counted if some are no nodes.
+    """
+    short = written(edges.select("src", "dst").mapInArrow(_runs, _RUNS))
+    runs = short.where("src is not null")
+    before = F.max("high").over(W.partitionBy("src").orderBy("low", "high").rowsBetween(W.unboundedPreceding, -1))
+    starts = runs.withColumn("meets", F.coalesce(before >= F.col("low"), F.lit(False))).groupBy("src")
+    starts = cut(starts.agg(F.sum("n").alias("n"), F.sum("repeated").alias("repeated"), F.sum("selfties").alias("selfties"), F.max("meets").alias("meets")))
+    own = starts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.when(~F.col("meets"), F.col("repeated"))), F.lit(0)).alias("repeated"),
+        F.coalesce(F.sum("selfties"), F.lit(0)).alias("selfties"), F.count_if("meets").alias("meeting"),
+    )
+    if own.first()["meeting"]:
+        more = edges.join(starts.where("meets").select("src"), "src", "left_semi").agg((F.count("*") - F.count_distinct("src", "dst")).alias("more"))
+        own = own.crossJoin(more).withColumn("repeated", F.col("repeated") + F.col("more"))
+    bits = lambda df, c: df.groupBy(F.shiftright(c, 15).alias("block")).agg(F.bitmap_construct_agg(F.col(c).bitwiseAND(F.lit(32767))).alias("bits"))
+    ids = nodes.select("node_id")
+    there = bits(ids, "node_id")
+    count = lambda df: df.groupBy("block").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if count(there.unionByName(bits(starts, "src")).unionByName(short.where("block is not null").select("block", "bits"))) == count(there):
+        strange = edges.sparkSession.range(1).select(F.lit(0).cast("long").alias("strangers"))
+    else:
+        strange = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).join(ids, "node_id", "left_anti").agg(F.count("*").alias("strangers"))
+    degrees = ids.join(starts.select(F.col("src").alias("node_id"), "n"), "node_id", "left")
+    even = degrees.agg(F.count("*").alias("nodes"), F.var_pop(F.coalesce("n", F.lit(0))).alias("spread"))
+    return _beside(own.select("edges", "repeated", "selfties"), strange, even)
+
+
 def erdos_renyi_shape(spark: SparkSession, d: str) -> DataFrame:
     nodes, p = nodes_of(spark, d), 0.0005
     edges = generators.erdos_renyi(nodes, p, True, False, DEFAULT_SEED)
     pairs = F.col("nodes") * (F.col("nodes") - 1)
-    even = graph.degree(nodes, edges, True, "out").agg(F.var_pop("degree").alias("spread"))
-    row = _beside(_shape(edges, nodes), even).withColumn("expected", (F.col("nodes") - 1) * p * (1 - p))
+    row = _shape_in_short(edges, nodes).withColumn("expected", (F.col("nodes") - 1) * p * (1 - p))
     # the variance of a binomial sample of n degrees has a deviation of about sqrt(2 / n + 1 / (n * mean)) of itself
     spread = _within(F.col("spread"), F.col("expected"), F.col("expected") * F.sqrt(2 / F.col("nodes") + 1 / (F.col("nodes") * F.col("expected"))))
     return row.select("nodes", "repeated", "selfties", "strangers", _within(F.col("edges"), pairs * p, F.sqrt(pairs * p * (1 - p))).alias("density"), spread.alias("spread"))
