@@ -28,6 +28,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -75,10 +76,12 @@ _DIGITS = re.compile("[0-9@$]+")
 _MIXED = re.compile(r"(?<![^\W_])(?=[^\W_]*[0-9@$])(?=[^\W_@$]*[^\W\d_])[^\W_@$]*[0-9@$][^\W_]*[^\W_]")
 _HANDLE = re.compile(r"[^\W\d_]{4,}[0-9]+\Z")
 _STRETCH = re.compile(r"([^\W\d_])\1\1+")
+_THRICE = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
+_THRICE_OTHER = re.compile(r"([^\W\d_a-z])\1\1")
 _DOUBLE = re.compile(r"([^\W\d_])\1+")
 _ACCENT = re.compile("[̀-ͯ]+")
 _CIPHER = re.compile(r"[0-9@$](?:[^\W\d_]|[0-9@$]+[^\W\d_])|[^\W\d_][0-9@$]")
-_HUMP = re.compile("[a-z][A-Z]")
+_HUMP = re.compile("[A-Z](?<=[a-z].)")  # capitals are few, so they are looked for first
 _TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]*)?|[0-9]+")
 _RUN = re.compile(r"\w+")
 _PIECES = re.compile(r"[.!?…][\"'”’)]*\s+|\n+")
@@ -103,12 +106,17 @@ LOOKS, HUMPS, SPACES, CIPHERS, STRETCHES, STARS = 1, 2, 4, 8, 16, 32
 WRAPPED = 64
 
 
+def _stretched(low: str) -> bool:
+    """Whether `_STRETCH` is found in a lower-case text; faster, as plain letters are looked for as texts."""
+    return any(map(low.__contains__, _THRICE)) or not low.isascii() and _THRICE_OTHER.search(low) is not None
+
+
 def _odd(text: str) -> int:
     low = text.lower()
     ciphers = any(low[m.start() - 1 : m.start()].isalpha() or low[m.end() : m.end() + 1].isalpha() for m in _DIGITS.finditer(low))
     return (
         (_HUMP.search(text) is not None) * HUMPS | (_APART.search(low) is not None) * SPACES | ciphers * CIPHERS
-        | (_STRETCH.search(low) is not None) * STRETCHES | ("*" in text or "_" in text) * STARS
+        | _stretched(low) * STRETCHES | ("*" in text or "_" in text) * STARS
     )
 
 
@@ -279,6 +287,110 @@ class Classifier:
         return Classifier({r["name"]: r["value"] for r in kept if r["kind"] == "weight"}, one["bias"], masks, one["threshold"])
 
 
+class _Found:
+    """Places of whole numbers in a table of distinct ones."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = np.sort(table)
+        self.may = np.zeros(1 << 20, bool)
+        self.may[self._hash(self.table)] = True
+
+    @staticmethod
+    def _hash(x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def __call__(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the numbers are there, and their places; most are not, so a filter comes first."""
+        which = np.flatnonzero(self.may[self._hash(asked)])
+        at = np.searchsorted(self.table, asked[which])
+        there = self.table[np.minimum(at, len(self.table) - 1)] == asked[which] if len(self.table) else np.zeros(0, bool)
+        return which[there], at[there]
+
+
+class _Scorer:
+    """Log-odds of many segments at once, by each column of the weights.  once: an n-gram counts once in a segment, as in the fits."""
+
+    BEGIN, END = 1, 2  # 0: a word that no n-gram has
+
+    def __init__(self, grams: list[str], weights: np.ndarray, biases: np.ndarray, masks: dict[tuple, str], once: bool):
+        self.weights, self.biases, self.once, self.reader = weights, biases, once, Classifier({}, 0.0, masks)
+        self.columns = [np.ascontiguousarray(w) for w in weights.T]
+        self.number: dict[str, int] = {"^": self.BEGIN, "$": self.END}
+        parts = [([g] if g[0] == "#" else g.split(" "), k) for k, g in enumerate(grams)]
+        self.style = {x[0]: k for x, k in parts if x[0][0] == "#"}
+        parts = [([self.number.setdefault(w, len(self.number) + 1) for w in x], k) for x, k in parts if x[0][0] != "#"]
+        self.words, self.width = pa.array(self.number, pa.string()), len(self.number) + 1  # numbers are 1 and up, in this order
+        by = [np.array([(*x, k) for x, k in parts if len(x) == n], np.int64).reshape(-1, n + 1) for n in (1, 2, 3)]
+        self.single = np.full(self.width, -1)
+        self.single[by[0][:, 0]] = by[0][:, 1]
+        pairs, heads = (x[:, 0] * self.width + x[:, 1] for x in by[1:])
+        self.pairs = _Found(np.unique(np.concatenate([pairs, heads])))
+        self.pair = np.full(len(self.pairs.table), -1)
+        self.pair[np.searchsorted(self.pairs.table, pairs)] = by[1][:, 2]
+        triples = np.searchsorted(self.pairs.table, heads) * self.width + by[2][:, 2]
+        self.triples, self.triple = _Found(triples), by[2][np.argsort(triples), 3]
+        self.by_marks: dict[str, np.ndarray] = {}
+
+    @staticmethod
+    def of(model: Classifier) -> _Scorer:
+        return _Scorer(list(model.weights), np.array(list(model.weights.values()), float).reshape(-1, 1), np.array([model.bias]), model.masks, False)
+
+    def scores(self, flat: np.ndarray, marks: list[str]) -> np.ndarray:
+        """A row for each segment.  flat: of each segment BEGIN twice, its words and END."""
+        end = flat == self.END
+        row = np.cumsum(end) - end
+        own = self.single[flat]
+        which = np.flatnonzero(own >= 0)
+        rows, cols = [row[which]], [own[which]]
+        which, at = self.pairs(flat[:-1] * self.width + flat[1:])
+        own = self.pair[at]
+        rows.append(row[which + 1][own >= 0])
+        cols.append(own[own >= 0])
+        which, at = which[which + 2 < len(flat)], at[which + 2 < len(flat)]
+        found, at = self.triples(at * self.width + flat[which + 2])
+        rows.append(row[which[found] + 2])
+        cols.append(self.triple[at])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        if self.once:
+            each = np.sort(rows << 32 | cols)
+            each = each[np.append(True, each[1:] != each[:-1])[: len(each)]]
+            rows, cols = each >> 32, each & 0xFFFFFFFF
+        for m in set(marks) - self.by_marks.keys():
+            self.by_marks[m] = self.biases + self.weights[[self.style[x] for x in _style(m) if x in self.style]].sum(axis=0)
+        own = np.array([self.by_marks[m] for m in marks]).reshape(len(marks), len(self.biases))
+        return own + np.stack([np.bincount(rows, w[cols], len(marks)) for w in self.columns], axis=1)
+
+    def joined(self, words: pa.Array, marks: list[str]) -> np.ndarray:
+        """Scores of segments whose words are one text each."""
+        masked = pa.array(["M" in m for m in marks], pa.bool_())
+        if masked.true_count:
+            words = pc.replace_with_mask(words, masked, pa.array([" ".join(self.reader.unmask(w.split(" "))) for w in words.filter(masked).to_pylist()], pa.string()))
+        flat = pc.split_pattern(pc.binary_join_element_wise("^ ^", words, "$", " "), " ").flatten()
+        return self.scores(pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy().astype(np.int64) + 1, marks)
+
+    def _piece(self, raw: str, odd: int) -> tuple[list[int], list[str]]:
+        flat, marks, get = [], [], self.number.get
+        for words, m in _piece(raw, odd):
+            flat += [self.BEGIN, self.BEGIN, *[get(w, 0) for w in (self.reader.unmask(words) if "M" in m else words)], self.END]
+            marks.append(m)
+        return flat, marks
+
+    def documents(self, texts: list[str | None], known: dict) -> np.ndarray:
+        """Probability-like score of the worst segment of each text, as `Classifier.document`; 0 for null and empty texts."""
+        flat, marks, sizes = [], [], []
+        for t in texts:
+            before = len(marks)
+            for p, odd in pieces(t) if t else ():
+                own, kinds = _known(p, odd, known, self._piece)
+                flat += own
+                marks += kinds
+            sizes.append(len(marks) - before)
+        worst = np.full(len(texts), -50.0)
+        if marks:
+            np.maximum.at(worst, np.repeat(np.arange(len(texts)), sizes), self.scores(np.array(flat, np.int64), marks)[:, 0])
+        return np.where([bool(t) for t in texts], _sigmoid(worst), 0.0)
+
+
 def _mask_key(word: str) -> tuple:
     """First letter, last letter and number of hidden letters of a masked word."""
     stars = word.count("*")
@@ -525,30 +637,26 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _score_segments(model: Classifier):
+    scorer = _Scorer.of(model)  # made once, for all tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [model.score(w.split(" "), m) for w, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], names=["words", "marks", "score"])
+            if b.num_rows:
+                scores = scorer.joined(b.column(0), b.column(1).to_pylist())[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], names=["words", "marks", "score"])
 
     return run
 
 
 def _count_scores(grams: list[str], weights: np.ndarray, biases: np.ndarray, masks: dict[tuple, str], at: np.ndarray):
     """How many segments of a task score below the first of the given values, from each to the next, and beyond, by each column of the weights."""
-    reader, places = Classifier({}, 0.0, masks), len(at) + 1
+    scorer, places = _Scorer(grams, weights, biases, masks, True), len(at) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {g: k for k, g in enumerate(grams)}
-        padded, total = np.vstack([weights, np.zeros((1, len(biases)))]), np.zeros((len(biases), places), np.int64)
+        total = np.zeros((len(biases), places), np.int64)
         for b in batches:
-            cols, starts = [], []
-            for w, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = w.split(" ")
-                starts.append(len(cols))
-                cols += {number[g] for g in _grams(reader.unmask(words) if "M" in m else words, m) if g in number}
-                cols.append(len(grams))  # of weight 0, so that no row is empty
-            if starts:
-                scores = np.add.reduceat(padded[np.array(cols)], np.array(starts), axis=0) + biases
+            if b.num_rows:
+                scores = scorer.joined(b.column(0), b.column(1).to_pylist())
                 for k in range(len(biases)):
                     total[k] += np.bincount(np.searchsorted(at, scores[:, k], "right"), minlength=places)
         k, place = np.nonzero(total)
@@ -603,11 +711,15 @@ def train_on(documents: DataFrame, labels: DataFrame, r: Recipe = Recipe()) -> C
 
 
 def _score(model: Classifier):
+    scorer = _Scorer.of(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            scores = [model.document(t, known) if t else 0.0 for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], names=["doc_id", "source", "score"])
+            for k in range(0, b.num_rows, 500):  # bounds what is held besides
+                c = b.slice(k, 500)
+                scores = scorer.documents(c.column(2).to_pylist(), known)
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(scores, pa.float64())], names=["doc_id", "source", "score"])
 
     return run
 
