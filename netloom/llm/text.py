@@ -6,8 +6,9 @@ import re
 
 #: Tags, comments and declarations; a "less than" sign in prose begins none of these.
 TAG = re.compile(r"<(?:!--.*?--|[/!?]?[A-Za-z][^<>]*)>", re.S)
+LEADS, FOLLOWS = "[Â-ô]", "[\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
 #: A character of two to four bytes whose bytes were read one by one.
-MOJIBAKE = re.compile("[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
+MOJIBAKE = re.compile(LEADS + FOLLOWS + "{1,3}")
 
 
 def _read_again(match: re.Match) -> str:

@@ -20,10 +20,12 @@ Fitting and scoring are apart: a Classifier can be kept as a table and score any
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from netloom.functions.tables import cut as checkpointed
-from netloom.llm.text import MOJIBAKE, TAG, decoded
+from netloom.llm.text import FOLLOWS, LEADS, TAG, decoded
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,7 @@ _DIGITS = re.compile("[0-9@$]+")
 _MIXED = re.compile(r"(?<![^\W_])(?=[^\W_]*[0-9@$])(?=[^\W_@$]*[^\W\d_])[^\W_@$]*[0-9@$][^\W_]*[^\W_]")
 _HANDLE = re.compile(r"[^\W\d_]{4,}[0-9]+\Z")
 _STRETCH = re.compile(r"([^\W\d_])\1\1+")
+_ALPHA = re.compile(r"[^\W\d_]")
 _THRICE = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
 _THRICE_OTHER = re.compile(r"([^\W\d_a-z])\1\1")
 _DOUBLE = re.compile(r"([^\W\d_])\1+")
@@ -84,7 +87,7 @@ _CIPHER = re.compile(r"[0-9@$](?:[^\W\d_]|[0-9@$]+[^\W\d_])|[^\W\d_][0-9@$]")
 _HUMP = re.compile("[A-Z](?<=[a-z].)")  # capitals are few, so they are looked for first
 _TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]*)?|[0-9]+")
 _RUN = re.compile(r"\w+")
-_PIECES = re.compile(r"[.!?…][\"'”’)]*\s+|\n+")
+_PIECES = re.compile(r"([.!?…\n](?:(?<!\n)[\"'”’)]*\s+|(?<=\n)\n*))")  # begins with a set, so that the rest is passed over fast
 #: A line may begin with a speaker or heading of up to three words and a colon.
 _LEAD = re.compile(r"((?:[^\W_]+ ){0,2}[^\W_]+): +")
 #: Words of a segment without a sentence end are seen through windows of this length.
@@ -111,8 +114,45 @@ def _stretched(low: str) -> bool:
     return any(map(low.__contains__, _THRICE)) or not low.isascii() and _THRICE_OTHER.search(low) is not None
 
 
+#: Kinds of characters, by UTF-16 units: first and further bytes that were read one by one, digits and signs that stand for letters, letters,
+#: what is hidden or looks like a Latin letter, and halves of characters of two units.
+FIRST, FURTHER, CODE, LETTER, SHOWN, HALF = (1 << k for k in range(6))
+
+
+def _kinds() -> np.ndarray:
+    every, kinds = [chr(k) for k in range(1 << 16)], np.zeros(1 << 16, np.uint8)
+    for kind, is_ in ((FIRST, re.compile(LEADS).match), (FURTHER, re.compile(FOLLOWS).match), (CODE, _DIGITS.match), (LETTER, str.isalpha), (SHOWN, _HIDDEN.match), (SHOWN, _LOOKS.match)):
+        kinds |= np.fromiter((bool(is_(c)) for c in every), bool, len(every)) * np.uint8(kind)
+    kinds[0xD800:0xE000] = HALF
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def _units(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+
+
 def _odd(text: str) -> int:
     low = text.lower()
+    units = _units(low + "\n")
+    kinds = _KINDS.take(units)
+    if int(np.bitwise_or.reduce(kinds)) & HALF:
+        return _odd_beyond(text, low)
+    at = np.flatnonzero(kinds & CODE)
+    ciphers = len(at) > 0 and bool(((kinds[at - 1] | kinds[at + 1]) & LETTER).any())
+    same = units[1:] == units[:-1]
+    thrice = units[2:][same[1:] & same[:-1]]
+    stretched = len(thrice) > 0 and any(_ALPHA.match(chr(c)) for c in set(thrice.tolist()))  # as _STRETCH
+    return (
+        (_HUMP.search(text) is not None) * HUMPS | (_APART.search(low) is not None) * SPACES | ciphers * CIPHERS
+        | stretched * STRETCHES | ("*" in text or "_" in text) * STARS
+    )
+
+
+def _odd_beyond(text: str, low: str) -> int:
+    """`_odd` where some characters take two units."""
     ciphers = any(low[m.start() - 1 : m.start()].isalpha() or low[m.end() : m.end() + 1].isalpha() for m in _DIGITS.finditer(low))
     return (
         (_HUMP.search(text) is not None) * HUMPS | (_APART.search(low) is not None) * SPACES | ciphers * CIPHERS
@@ -163,19 +203,23 @@ def pieces(text: str) -> list[tuple[str, int]]:
         text = TAG.sub(" ", text)
     odd = 0
     if not text.isascii():
-        if MOJIBAKE.search(text):
+        kinds = _KINDS.take(_units(text))
+        if (kinds[:-1] << 1 & kinds[1:] & FURTHER).any():  # as MOJIBAKE
             text = decoded(text)
-        if _HIDDEN.search(text) or _LOOKS.search(text):
+            kinds = _KINDS.take(_units(text))
+        if int(np.bitwise_or.reduce(kinds)) & SHOWN:
             odd = LOOKS
         else:
-            text = _ACCENT.sub("", unicodedata.normalize("NFKD", text))
+            units = _units(unicodedata.normalize("NFKD", text))
+            text = units[(units < 0x300) | (units > 0x36F)].tobytes().decode("utf-16-le", "surrogatepass")  # as _ACCENT
     odd |= _odd(text)
-    out, last, how = [], 0, odd
-    for m in _PIECES.finditer(text):
-        out.append((text[last : m.end()].strip(), how))
-        last, how = m.end(), odd | (m.group() == "\n") * WRAPPED
-    out.append((text[last:].strip(), how))
-    return [p for p in out if p[0]]
+    parts = [*_PIECES.split(text), ""]
+    out, how, wrapped = [], odd, odd | WRAPPED
+    for piece, end in zip(parts[::2], parts[1::2]):
+        if piece := (piece + end).strip():
+            out.append((piece, how))
+        how = wrapped if end == "\n" else odd
+    return out
 
 
 def segments(text: str, known: dict | None = None) -> list[tuple[list[str], str]]:
@@ -201,10 +245,10 @@ def _known(raw: str, odd: int, known: dict, make: Callable):
     return got
 
 
-def _piece(raw: str, odd: int) -> list[tuple[list[str], str]]:
-    """The segments of a sentence or line."""
+def _piece(raw: str, odd: int, read: dict = _WORDS) -> list[tuple[list, str]]:
+    """The segments of a sentence or line.  read: what the words are taken as."""
     if ": " in raw and (lead := _LEAD.match(raw)) and lead.end() < len(raw):
-        return _piece(lead.group(1), odd) + _piece(raw[lead.end() :], odd & ~WRAPPED)
+        return _piece(lead.group(1), odd, read) + _piece(raw[lead.end() :], odd & ~WRAPPED, read)
     closed = raw.rstrip(" \"'”’)")
     end = closed[len(closed.rstrip(".!?… ")) :]
     if len(end) > 1 or end == "…":
@@ -214,8 +258,9 @@ def _piece(raw: str, odd: int) -> list[tuple[list[str], str]]:
     plain, tricks = _plain(raw, odd) if odd & ~WRAPPED else (raw.lower(), 0)
     if tricks:
         marks += "O"
-    words = [_WORDS[w] for w in (_TOKEN if odd & (LOOKS | CIPHERS | STARS) else _RUN).findall(plain)]
-    if odd & STARS and any("*" in w for w in words):
+    found = (_TOKEN if odd & (LOOKS | CIPHERS | STARS) else _RUN).findall(plain)
+    words = list(map(read.__getitem__, found))
+    if odd & STARS and any("*" in w for w in found):
         marks += "M"
     if len(words) < 3:  # style says little about a scrap of text
         return [(words, "M" if "M" in marks else "")] if words else []
@@ -307,6 +352,19 @@ class _Found:
         return which[there], at[there]
 
 
+class _Numbers(dict):
+    """Numbers of words as written, masked ones read; kept as in `_Words`."""
+
+    def __init__(self, number: dict[str, int], reader: Classifier):
+        self.number, self.reader = number, reader
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        got = self[word] = self.number.get(self.reader.unmask([_WORDS[word]])[0], 0)
+        return got
+
+
 class _Scorer:
     """Log-odds of many segments at once, by each column of the weights.  once: an n-gram counts once in a segment, as in the fits."""
 
@@ -330,6 +388,7 @@ class _Scorer:
         triples = np.searchsorted(self.pairs.table, heads) * self.width + by[2][:, 2]
         self.triples, self.triple = _Found(triples), by[2][np.argsort(triples), 3]
         self.by_marks: dict[str, np.ndarray] = {}
+        self.read = _Numbers(self.number, self.reader)
 
     @staticmethod
     def of(model: Classifier) -> _Scorer:
@@ -369,9 +428,9 @@ class _Scorer:
         return self.scores(pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy().astype(np.int64) + 1, marks)
 
     def _piece(self, raw: str, odd: int) -> tuple[list[int], list[str]]:
-        flat, marks, get = [], [], self.number.get
-        for words, m in _piece(raw, odd):
-            flat += [self.BEGIN, self.BEGIN, *[get(w, 0) for w in (self.reader.unmask(words) if "M" in m else words)], self.END]
+        flat, marks = [], []
+        for words, m in _piece(raw, odd, self.read):
+            flat += (self.BEGIN, self.BEGIN, *words, self.END)
             marks.append(m)
         return flat, marks
 
@@ -623,16 +682,38 @@ def train(
     return model
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without garbage collection: what cutting makes is many small parts and has no cycles, so that passes over it find nothing."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def _joined(raw: str, odd: int) -> list[tuple[str, str]]:
+    return [(" ".join(w), m) for w, m in _piece(raw, odd)]
+
+
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct segments of a batch, how often they occur there and in how many texts."""
     known: dict = {}
     for b in batches:
-        count, docs = Counter(), Counter()
-        for t in b.column(0).to_pylist():
-            own = Counter((" ".join(w), m) for w, m in segments(t, known))
-            count.update(own)
-            docs.update(own.keys())
-        columns = [pa.array([w for w, _ in count], pa.string()), pa.array([m for _, m in count], pa.string()), pa.array(count.values(), pa.int64()), pa.array([docs[x] for x in count], pa.int64())]
+        every, again = [], Counter()
+        with _uncollected():
+            for t in b.column(0).to_pylist():
+                own = []
+                for p, odd in pieces(t):
+                    own += _known(p, odd, known, _joined)
+                every += own
+                if len(once := set(own)) < len(own):
+                    again.update(Counter(own) - Counter(once))
+            count = Counter(every)
+        docs = pa.array([n - again.get(x, 0) for x, n in count.items()], pa.int64())
+        columns = [pa.array([w for w, _ in count], pa.string()), pa.array([m for _, m in count], pa.string()), pa.array(count.values(), pa.int64()), docs]
         yield pa.RecordBatch.from_arrays(columns, names=["words", "marks", "count", "docs"])
 
 
@@ -718,7 +799,8 @@ def _score(model: Classifier):
         for b in batches:
             for k in range(0, b.num_rows, 500):  # bounds what is held besides
                 c = b.slice(k, 500)
-                scores = scorer.documents(c.column(2).to_pylist(), known)
+                with _uncollected():
+                    scores = scorer.documents(c.column(2).to_pylist(), known)
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(scores, pa.float64())], names=["doc_id", "source", "score"])
 
     return run
