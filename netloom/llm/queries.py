@@ -11,7 +11,7 @@ from netloom.llm.contamination import leaked_items
 from netloom.llm.cooccurrence import shared_baskets
 from netloom.llm.packing import pack_texts
 from netloom.llm.percentiles import combine_parts, local_digests, merge_digests, read_percentiles
-from netloom.llm.toxicity import Classifier, rates, score_documents, train_on
+from netloom.llm.toxicity import Classifier, cut_documents, rates, score_cut, train_on_cut
 
 PERCENTS = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
 EPS = 0.005
@@ -139,22 +139,25 @@ def p8_suites(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).join(items, "item_id").groupBy("suite").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
 
 
-def _model(spark: SparkSession, d: str) -> Classifier:
-    return train_on(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, Classifier]:
+    """Scores of all documents, which are cut once, and the model."""
+    documents = cut_documents(table(spark, d, "documents"))
+    model = train_on_cut(documents, table(spark, d, "abuse_labels"))
+    return score_cut(documents, model), model
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_documents(table(spark, d, "documents"), _model(spark, d))
+    return _judged(spark, d)[0]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    model = _model(spark, d)
-    return score_documents(table(spark, d, "documents"), model).where(F.col("score") >= model.threshold).select("doc_id")
+    scored, model = _judged(spark, d)
+    return scored.where(F.col("score") >= model.threshold).select("doc_id")
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    model = _model(spark, d)
-    return rates(score_documents(table(spark, d, "documents"), model), model.threshold)
+    scored, model = _judged(spark, d)
+    return rates(scored, model.threshold)
 
 
 QUERIES = {

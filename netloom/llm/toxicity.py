@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from netloom.functions.tables import cut as checkpointed
+from netloom.functions.tables import written
 from netloom.llm.text import FOLLOWS, LEADS, TAG, decoded
 
 
@@ -394,8 +395,8 @@ class _Scorer:
     def of(model: Classifier) -> _Scorer:
         return _Scorer(list(model.weights), np.array(list(model.weights.values()), float).reshape(-1, 1), np.array([model.bias]), model.masks, False)
 
-    def scores(self, flat: np.ndarray, marks: list[str]) -> np.ndarray:
-        """A row for each segment.  flat: of each segment BEGIN twice, its words and END."""
+    def scores(self, flat: np.ndarray, kinds: list[str], marks: np.ndarray) -> np.ndarray:
+        """A row for each segment.  flat: of each segment BEGIN twice, its words and END.  marks: of each segment, as places in kinds."""
         end = flat == self.END
         row = np.cumsum(end) - end
         own = self.single[flat]
@@ -414,18 +415,20 @@ class _Scorer:
             each = np.sort(rows << 32 | cols)
             each = each[np.append(True, each[1:] != each[:-1])[: len(each)]]
             rows, cols = each >> 32, each & 0xFFFFFFFF
-        for m in set(marks) - self.by_marks.keys():
+        for m in set(kinds) - self.by_marks.keys():
             self.by_marks[m] = self.biases + self.weights[[self.style[x] for x in _style(m) if x in self.style]].sum(axis=0)
-        own = np.array([self.by_marks[m] for m in marks]).reshape(len(marks), len(self.biases))
+        own = np.array([self.by_marks[m] for m in kinds]).reshape(len(kinds), len(self.biases))[marks]
         return own + np.stack([np.bincount(rows, w[cols], len(marks)) for w in self.columns], axis=1)
 
-    def joined(self, words: pa.Array, marks: list[str]) -> np.ndarray:
+    def joined(self, words: pa.Array, marks: pa.Array) -> np.ndarray:
         """Scores of segments whose words are one text each."""
-        masked = pa.array(["M" in m for m in marks], pa.bool_())
+        marks = marks.dictionary_encode()
+        kinds, marks = marks.dictionary.to_pylist(), marks.indices.to_numpy()
+        masked = pa.array(np.array(["M" in m for m in kinds], bool)[marks])
         if masked.true_count:
             words = pc.replace_with_mask(words, masked, pa.array([" ".join(self.reader.unmask(w.split(" "))) for w in words.filter(masked).to_pylist()], pa.string()))
         flat = pc.split_pattern(pc.binary_join_element_wise("^ ^", words, "$", " "), " ").flatten()
-        return self.scores(pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy().astype(np.int64) + 1, marks)
+        return self.scores(pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy().astype(np.int64) + 1, kinds, marks)
 
     def _piece(self, raw: str, odd: int) -> tuple[list[int], list[str]]:
         flat, marks = [], []
@@ -446,7 +449,9 @@ class _Scorer:
             sizes.append(len(marks) - before)
         worst = np.full(len(texts), -50.0)
         if marks:
-            np.maximum.at(worst, np.repeat(np.arange(len(texts)), sizes), self.scores(np.array(flat, np.int64), marks)[:, 0])
+            place = {m: k for k, m in enumerate(dict.fromkeys(marks))}
+            scores = self.scores(np.array(flat, np.int64), list(place), np.array([place[m] for m in marks]))
+            np.maximum.at(worst, np.repeat(np.arange(len(texts)), sizes), scores[:, 0])
         return np.where([bool(t) for t in texts], _sigmoid(worst), 0.0)
 
 
@@ -698,23 +703,42 @@ def _joined(raw: str, odd: int) -> list[tuple[str, str]]:
     return [(" ".join(w), m) for w, m in _piece(raw, odd)]
 
 
-def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments of a batch, how often they occur there and in how many texts."""
+_SEGMENTS = pa.list_(pa.struct([("words", pa.string()), ("marks", pa.string()), ("times", pa.int32())]))
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict = {}
-    for b in batches:
-        every, again = [], Counter()
-        with _uncollected():
-            for t in b.column(0).to_pylist():
-                own = []
-                for p, odd in pieces(t):
-                    own += _known(p, odd, known, _joined)
-                every += own
-                if len(once := set(own)) < len(own):
-                    again.update(Counter(own) - Counter(once))
-            count = Counter(every)
-        docs = pa.array([n - again.get(x, 0) for x, n in count.items()], pa.int64())
-        columns = [pa.array([w for w, _ in count], pa.string()), pa.array([m for _, m in count], pa.string()), pa.array(count.values(), pa.int64()), docs]
-        yield pa.RecordBatch.from_arrays(columns, names=["words", "marks", "count", "docs"])
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):  # bounds what is held besides
+            b = batch.slice(k, 500)
+            texts = b.column(2).to_pylist()
+            each, times, ends = [], [], [0]
+            with _uncollected():
+                for t in texts:
+                    own = []
+                    for p, odd in pieces(t) if t else ():
+                        own += _known(p, odd, known, _joined)
+                    if len(set(own)) < len(own):
+                        count = Counter(own)
+                        each += count.keys()
+                        times += count.values()
+                    else:
+                        each += own
+                        times += [1] * len(own)
+                    ends.append(len(each))
+                columns = [pa.array([w for w, _ in each], pa.string()), pa.array([m for _, m in each], pa.string()), pa.array(times, pa.int32())]
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_SEGMENTS.value_type)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bool(t) for t in texts], pa.bool_()), made], names=["doc_id", "source", "filled", "segments"])
+
+
+def cut_documents(documents: DataFrame) -> DataFrame:
+    """doc_id, source, filled (whether there is any text) and the distinct segments of every row, kept in the shared folder: a text is cut once for fitting and scoring."""
+    made = "doc_id long, source string, filled boolean, segments array<struct<words string, marks string, times int>>"
+    return written(_documents(documents).mapInArrow(_cut_texts, made))
+
+
+def _documents(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
 
 
 def _score_segments(model: Classifier):
@@ -723,7 +747,7 @@ def _score_segments(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                scores = scorer.joined(b.column(0), b.column(1).to_pylist())[:, 0]
+                scores = scorer.joined(b.column(0), b.column(1))[:, 0]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], names=["words", "marks", "score"])
 
     return run
@@ -737,7 +761,7 @@ def _count_scores(grams: list[str], weights: np.ndarray, biases: np.ndarray, mas
         total = np.zeros((len(biases), places), np.int64)
         for b in batches:
             if b.num_rows:
-                scores = scorer.joined(b.column(0), b.column(1).to_pylist())
+                scores = scorer.joined(b.column(0), b.column(1))
                 for k in range(len(biases)):
                     total[k] += np.bincount(np.searchsorted(at, scores[:, k], "right"), minlength=places)
         k, place = np.nonzero(total)
@@ -753,11 +777,15 @@ def train_on(documents: DataFrame, labels: DataFrame, r: Recipe = Recipe()) -> C
     the further fits are all segments written in a telling way of which the first fit is fairly sure.  The prior and the threshold
     come from the scores of all distinct segments.
     """
-    texts = documents.select("text").where("text <> ''")
-    n = texts.count()
-    found = texts.mapInArrow(_cut_segments, "words string, marks string, count long, docs long")
+    texts = documents.select(F.lit(None).alias("doc_id"), F.lit(None).alias("source"), "text")
+    return train_on_cut(cut_documents(texts), labels, r)
+
+
+def train_on_cut(documents: DataFrame, labels: DataFrame, r: Recipe = Recipe()) -> Classifier:
+    """`train_on` for documents that were cut."""
+    n = documents.where("filled").count()
     # one exchange serves both sums; what recurs is told by its words, however they are written
-    each = found.repartition("words").groupBy("words", "marks").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    each = documents.select(F.inline("segments")).repartition("words").groupBy("words", "marks").agg(F.sum("times").alias("count"), F.count("*").alias("docs"))
     held = checkpointed(each.withColumn("docs", F.sum("docs").over(W.partitionBy("words"))))
     # what recurs is kept whole, the rest is thinned to the bound, and weighs more for that
     common = F.col("docs") >= max(r.recurs, r.furniture * n)
@@ -808,8 +836,29 @@ def _score(model: Classifier):
 
 def score_documents(documents: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, source, score (0 to 1) of every row; null and empty texts score 0.  Further columns are ignored."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(_score(model), "doc_id long, source string, score double")
+    return _documents(documents).mapInArrow(_score(model), "doc_id long, source string, score double")
+
+
+def _score_cut(model: Classifier):
+    scorer = _Scorer.of(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):  # bounds what is held besides
+                c = b.slice(k, 500)
+                each, worst = c.column(3).flatten(), np.full(c.num_rows, -50.0)
+                if len(each):
+                    rows = np.repeat(np.arange(c.num_rows), pc.list_value_length(c.column(3)).to_numpy())
+                    np.maximum.at(worst, rows, scorer.joined(each.field("words"), each.field("marks"))[:, 0])
+                scores = np.where(c.column(2).to_numpy(zero_copy_only=False), _sigmoid(worst), 0.0)
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(scores, pa.float64())], names=["doc_id", "source", "score"])
+
+    return run
+
+
+def score_cut(documents: DataFrame, model: Classifier) -> DataFrame:
+    """`score_documents` for documents that were cut."""
+    return documents.select("doc_id", "source", "filled", "segments").mapInArrow(_score_cut(model), "doc_id long, source string, score double")
 
 
 def rates(scored: DataFrame, threshold: float) -> DataFrame:
